@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SPLITS = 1024
 STRIDE = 32
 
@@ -20,11 +22,16 @@ def _same(left: DataFrame, right: DataFrame, columns: list[tuple[str, str]]) ->
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in columns])
 
 
-def running_counts(df: DataFrame, groups: list[str], value: str, descending: bool = True) -> DataFrame:
-    """One row per (group, distinct value): ``n`` rows hold it and ``n_before`` rows sort ahead of it, NULLs last."""
+def running_counts(df: DataFrame, groups: list[str], value: str, descending: bool = True,
+                   written: bool = False) -> DataFrame:
+    """One row per (group, distinct value): ``n`` rows hold it and ``n_before`` rows sort ahead of it, NULLs last.
+
+    The counts are read four times, so they are written first, unless ``df`` is itself a written table.
+    """
     names = [f"_g{i}" for i in range(len(groups))] or ["_g0"]
     keys = [F.col(g).alias(n) for g, n in zip(groups, names)] or [F.lit(0).alias("_g0")]
     counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts if written else cut_lineage(counts)
 
     by_hash = Window.partitionBy(*names).orderBy(F.xxhash64("_v"), F.col("_v"))
     splits = (counts.filter(F.col("_v").isNotNull())
@@ -58,9 +65,12 @@ def running_counts(df: DataFrame, groups: list[str], value: str, descending: boo
         (F.col("_offset") + F.col("_to_here") - F.col("n")).alias("n_before"))
 
 
-def with_rank(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
-    """Add SQL ``RANK()`` of ``value``, largest first and NULLs last, inside ``groups`` of any size."""
-    ranked = running_counts(df, groups, value)
+def with_rank(df: DataFrame, groups: list[str], value: str, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """Add SQL ``RANK()`` of ``value``, largest first and NULLs last, inside ``groups`` of any size.
+
+    ``counted`` is a written table to count instead, with the same groups and values.
+    """
+    ranked = running_counts(df if counted is None else counted, groups, value, written=counted is not None)
     ranked = ranked.select(*[F.col(g).alias(f"_r{i}") for i, g in enumerate(groups)], F.col(value).alias("_rv"),
                            (F.col("n_before") + 1).alias(name))
     on = _same(df, ranked, [(g, f"_r{i}") for i, g in enumerate(groups)] + [(value, "_rv")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rank_key
 from ..operators.ranking import with_rank
 from ..operators.regression import ols_two
+from ..session import cut_lineage
 from .params import param
 
 # Evidence labels.
@@ -61,10 +62,14 @@ def odds(gaps: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def odds_ranked(flagged: DataFrame) -> DataFrame:
-    """Rank of the residual in its period and in its area. A period holds every unit, so neither is a plain window."""
-    keyed = flagged.withColumn("_residual_key", rank_key("residual"))
-    ranked = with_rank(keyed, ["period"], "_residual_key", "rank_residual")
-    return with_rank(ranked, ["period", "area_code"], "_residual_key", "rank_residual_in_area").drop("_residual_key")
+    """Rank of the residual in its period and in its area. A period holds every unit, so neither is a plain window.
+
+    The rows are written once: both ranks count them and join back to them.
+    """
+    keyed = cut_lineage(flagged.withColumn("_residual_key", rank_key("residual")))
+    ranked = with_rank(keyed, ["period"], "_residual_key", "rank_residual", counted=keyed)
+    return with_rank(ranked, ["period", "area_code"], "_residual_key", "rank_residual_in_area",
+                     counted=keyed).drop("_residual_key")
 
 
 LIST_COLUMNS = ["lineage_id", "unit_id", "unit_name", "area_code", "area_name", "region", "unit_type", "trust_name",

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,109 +11,133 @@ from ..functions import weighted_mean
 from ..operators import ranking
 from ..plans import areas, marts, odds, panel, selection, trends
 from ..plans.params import params_pivot
+from ..session import cut_lineage
 from . import standins as st
 from .present import present
 from .standins import Tables
 
 
 class Panel:
-    """The composed plans over one scale, built on demand and shared by the queries."""
+    """The composed plans over one scale. ``reuse`` writes the unit-period results once, for the plans that read them
+    several times; the others read the source once anyway."""
 
-    def __init__(self, t: Tables):
-        self.t = t
-        self.params = st.params(t)
+    def __init__(self, t: Tables, reuse: bool):
+        self.t, self.reuse = t, reuse
 
+    @cached_property
+    def params(self) -> DataFrame:
+        return st.params(self.t)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        table = st.results(self.t)
+        return cut_lineage(table) if self.reuse else table
+
+    @cached_property
     def base(self) -> DataFrame:
-        return panel.unit_base(st.results(self.t), st.units(self.t), st.zones(self.t), self.params)
+        return panel.unit_base(self.results, st.units(self.t), st.zones(self.t), self.params)
 
+    @cached_property
     def bench(self) -> DataFrame:
-        return panel.benchmark(self.base())
+        return panel.benchmark(self.base)
 
+    @cached_property
     def gaps(self) -> DataFrame:
-        return panel.unit_gaps(self.base(), self.bench())
+        return panel.unit_gaps(self.base, self.bench)
 
+    @cached_property
     def area_period(self) -> DataFrame:
-        return panel.area_period(self.base(), self.bench())
+        return panel.area_period(self.base, self.bench)
 
+    @cached_property
     def area_ranking(self) -> DataFrame:
-        return panel.area_ranking(self.area_period())
+        return panel.area_ranking(self.area_period)
 
+    @cached_property
     def area_trends(self) -> DataFrame:
-        return trends.area_trends(self.area_ranking())
+        return trends.area_trends(self.area_ranking)
 
+    @cached_property
     def eligible(self) -> DataFrame:
-        return odds.odds_eligible(self.gaps())
+        return odds.odds_eligible(self.gaps)
 
+    @cached_property
     def residuals(self) -> DataFrame:
-        eligible = self.eligible()
-        return odds.odds_residuals(eligible, odds.odds_model(eligible))
+        return odds.odds_residuals(self.eligible, odds.odds_model(self.eligible))
 
+    @cached_property
     def odds(self) -> DataFrame:
-        return odds.odds(self.gaps(), self.params)
+        return odds.odds_flagged(self.residuals, self.params)
 
+    @cached_property
     def listed(self) -> DataFrame:
-        return odds.beating_the_odds(self.odds())
+        return odds.beating_the_odds(self.odds)
 
+    @cached_property
     def dash_units(self) -> DataFrame:
-        return marts.dash_units(trends.unit_trends(self.gaps()), self.odds())
+        return marts.dash_units(trends.unit_trends(self.gaps), self.odds)
 
+    @cached_property
     def areas(self) -> DataFrame:
         return areas.build_areas(st.units(self.t), st.area_register(self.t), st.area_zones(self.t))
 
+    @cached_property
     def dash_areas(self) -> DataFrame:
-        return marts.dash_areas(self.area_trends(), self.areas())
+        return marts.dash_areas(self.area_trends, self.areas)
 
 
 def _weighted_means(p: Panel) -> DataFrame:
     pairs = [("n_focus", "score_focus"), ("n_rest", "score_rest"), ("n_focus", "basics_focus"),
              ("n_rest", "basics_rest"), ("n_focus", "progress_focus")]
-    return p.base().groupBy("region").agg(*[weighted_mean(w, x).alias(x) for w, x in pairs])
+    return p.base.groupBy("region").agg(*[weighted_mean(w, x).alias(x) for w, x in pairs])
 
 
 def _trend_series(p: Panel) -> DataFrame:
-    ranked = p.area_ranking()
-    return trends.trend_series(p.bench(), ranked, ranked.agg(F.min("area_code")).scalar())
+    ranked = p.area_ranking
+    return trends.trend_series(p.bench, ranked, ranked.agg(F.min("area_code")).scalar())
 
 
 PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
     "params_pivot": lambda p: params_pivot(p.params),
-    "unit_base": lambda p: p.base(),
+    "unit_base": lambda p: p.base,
     "weighted_means": _weighted_means,
-    "benchmark": lambda p: p.bench(),
-    "unit_gaps": lambda p: p.gaps(),
-    "area_period": lambda p: p.area_period(),
-    "area_ranking": lambda p: p.area_ranking(),
-    "coverage_by_period": lambda p: panel.coverage_by_period(p.base()),
-    "odds_eligible": lambda p: p.eligible(),
-    "ols_by_period": lambda p: odds.odds_model(p.eligible()),
-    "odds_residuals": lambda p: p.residuals(),
-    "odds_flagged": lambda p: p.odds(),
-    "odds_ranked": lambda p: odds.odds_ranked(p.odds()),
-    "beating_the_odds": lambda p: p.listed(),
-    "q6_model_summary": lambda p: odds.model_summary(p.odds()),
-    "q4_consistent_in_region": lambda p: marts.consistent_in_region(p.listed(), "ASIA"),
-    "benchmark_trends": lambda p: trends.benchmark_trends(p.bench()),
-    "area_trends": lambda p: p.area_trends(),
-    "unit_trends": lambda p: trends.unit_trends(p.gaps()),
-    "q3_widening_twice": lambda p: trends.widening_twice(p.area_trends()),
+    "benchmark": lambda p: p.bench,
+    "unit_gaps": lambda p: p.gaps,
+    "area_period": lambda p: p.area_period,
+    "area_ranking": lambda p: p.area_ranking,
+    "coverage_by_period": lambda p: panel.coverage_by_period(p.base),
+    "odds_eligible": lambda p: p.eligible,
+    "ols_by_period": lambda p: odds.odds_model(p.eligible),
+    "odds_residuals": lambda p: p.residuals,
+    "odds_flagged": lambda p: p.odds,
+    "odds_ranked": lambda p: odds.odds_ranked(p.odds),
+    "beating_the_odds": lambda p: p.listed,
+    "q6_model_summary": lambda p: odds.model_summary(p.odds),
+    "q4_consistent_in_region": lambda p: marts.consistent_in_region(p.listed, "ASIA"),
+    "benchmark_trends": lambda p: trends.benchmark_trends(p.bench),
+    "area_trends": lambda p: p.area_trends,
+    "unit_trends": lambda p: trends.unit_trends(p.gaps),
+    "q3_widening_twice": lambda p: trends.widening_twice(p.area_trends),
     "trend_series": _trend_series,
-    "dash_units": lambda p: p.dash_units(),
-    "dash_areas": lambda p: p.dash_areas(),
-    "q1_top_gaps": lambda p: marts.top_gaps(p.area_trends()),
-    "q2_scale_of_need": lambda p: marts.greatest_need(p.area_ranking()),
-    "q5_one_area": lambda p: marts.units_of_area(p.dash_units(), "NATION_4"),
-    "kpi_tiles": lambda p: selection.kpi_tiles(p.dash_units(), p.listed(), region="EUROPE"),
-    "area_ranking_selected": lambda p: selection.area_ranking_selected(p.dash_units(), "scale_of_need"),
-    "class_breaks": lambda p: ranking.class_breaks(p.area_period(), "scale_of_need", 5),
-    "dim_values": lambda p: selection.dim_values([p.dash_units(), p.dash_areas()], "period_label"),
+    "dash_units": lambda p: p.dash_units,
+    "dash_areas": lambda p: p.dash_areas,
+    "q1_top_gaps": lambda p: marts.top_gaps(p.area_trends),
+    "q2_scale_of_need": lambda p: marts.greatest_need(p.area_ranking),
+    "q5_one_area": lambda p: marts.units_of_area(p.dash_units, "NATION_4"),
+    "kpi_tiles": lambda p: selection.kpi_tiles(p.dash_units, p.listed, region="EUROPE"),
+    "area_ranking_selected": lambda p: selection.area_ranking_selected(p.dash_units, "scale_of_need"),
+    "class_breaks": lambda p: ranking.class_breaks(p.area_period, "scale_of_need", 5),
+    "dim_values": lambda p: selection.dim_values([p.dash_units, p.dash_areas], "period_label"),
     "area_profile": lambda p: areas.area_profile(st.units(p.t)),
-    "area_deprivation": lambda p: p.areas(),
+    "area_deprivation": lambda p: p.areas,
     "mode_by_group": lambda p: areas.district_areas(st.area_register(p.t)),
 }
 
 
 def _over_panel(key: str, build: Callable[[Panel], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: present(build(Panel(Tables(spark, folder))), key)
+    reuse = key not in ("params_pivot", "unit_base", "weighted_means", "benchmark", "benchmark_trends",
+                        "coverage_by_period")
+    return lambda spark, folder: present(build(Panel(Tables(spark, folder), reuse)), key)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
