@@ -61,12 +61,12 @@ def odds(gaps: DataFrame, params: DataFrame) -> DataFrame:
     return odds_flagged(odds_residuals(eligible, odds_model(eligible)), params)
 
 
-def odds_ranked(flagged: DataFrame) -> DataFrame:
+def odds_ranked(flagged: DataFrame, written: bool = False) -> DataFrame:
     """Rank of the residual in its period and in its area. A period holds every unit, so neither is a plain window.
 
-    The rows are written once: both ranks count them and join back to them.
+    Both ranks count the rows and join back to them, so they are written first, unless ``written`` says they are.
     """
-    keyed = cut_lineage(flagged.withColumn("_residual_key", rank_key("residual")))
+    keyed = (flagged if written else cut_lineage(flagged)).withColumn("_residual_key", rank_key("residual"))
     ranked = with_rank(keyed, ["period"], "_residual_key", "rank_residual", counted=keyed)
     return with_rank(ranked, ["period", "area_code"], "_residual_key", "rank_residual_in_area",
                      counted=keyed).drop("_residual_key")

@@ -4,14 +4,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import weighted_mean
-from ..operators import ranking
+from ..operators import cleaning, dedupe, joins, ranking
+from ..operators.components import connected_components
 from ..plans import areas, marts, odds, panel, selection, trends
+from ..plans.lineage import build_lineage, lineage_clashes, one_to_one_links
 from ..plans.params import params_pivot
+from ..plans.units import FROM_ID, build_units, coalesce_attrs
 from ..session import cut_lineage
+from ..sources import sinks
+from ..sources.layouts import REGISTER_SENTINELS
+from ..sources.results import derive_counts, merge_results, slim_long, slim_wide, tidy_long, tidy_wide
+from . import standin_files as sf
 from . import standins as st
 from .present import present
 from .standins import Tables
@@ -121,6 +128,8 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
     "trend_series": _trend_series,
     "dash_units": lambda p: p.dash_units,
     "dash_areas": lambda p: p.dash_areas,
+    "extract_units": lambda p: sinks.extract({"dash_units": p.dash_units}, "units"),
+    "extract_areas": lambda p: sinks.extract({"dash_areas": p.dash_areas}, "areas"),
     "q1_top_gaps": lambda p: marts.top_gaps(p.area_trends),
     "q2_scale_of_need": lambda p: marts.greatest_need(p.area_ranking),
     "q5_one_area": lambda p: marts.units_of_area(p.dash_units, "NATION_4"),
@@ -134,11 +143,98 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
 }
 
 
+def _lineage_units(t: Tables) -> DataFrame:
+    rows = sf.order_results(t)
+    linked = rows.select("unit_id").join(build_lineage(rows, sf.order_register(t), sf.order_links(t)), "unit_id", "left")
+    # A lineage has at most one row per period.
+    return linked.withColumn("n_periods", F.count(F.lit(1)).over(Window.partitionBy("lineage_id")))
+
+
+def _components(t: Tables) -> DataFrame:
+    return connected_components(one_to_one_links(sf.order_links(t)), "pred", "succ")
+
+
+def _clashes(t: Tables) -> DataFrame:
+    groups = _components(t).withColumnRenamed("node", "unit_id")
+    years = sf.order_results(t).join(groups, "unit_id", "left")
+    return lineage_clashes(years.withColumn("component", F.coalesce("component", "unit_id")))
+
+
+def _first_non_null(t: Tables) -> DataFrame:
+    price = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
+    priority = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    rows = t.orders.select("o_custkey", "o_orderkey", price.alias("price"), priority.alias("priority"))
+    return dedupe.first_non_null(rows, ["o_custkey"], ["price", "priority"], "o_orderkey")
+
+
+def _clean_sentinels(t: Tables) -> DataFrame:
+    rows = cleaning.null_sentinels(sf.messy_customers(t), ["region", "area_name"], REGISTER_SENTINELS)
+    return cleaning.null_unless_both_positive(rows, "easting", "northing")
+
+
+def _found(t: Tables) -> DataFrame:
+    return joins.join_with_source(sf.part_units(t), sf.part_register(t), "unit_id", FROM_ID)
+
+
+def _coverage(t: Tables) -> DataFrame:
+    known = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return joins.match_rate(t.orders, known, "o_custkey")
+
+
+def _build_units(t: Tables) -> DataFrame:
+    register = sf.order_register(t).filter("easting > 20000")
+    return build_units(sf.order_results(t), register, sf.order_links(t), sf.order_directory(t))
+
+
+TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
+    "wide_results": lambda t: tidy_wide(sf.wide_file(t), F.col("period")),
+    "long_to_wide": lambda t: tidy_long(sf.long_file(t)),
+    "source_precedence": lambda t: merge_results(*sf.two_sources(t)),
+    "slim_wide": lambda t: slim_wide(sf.wide_file(t)),
+    "slim_long": lambda t: slim_long(sf.long_file(t)),
+    "clean_numeric": lambda t: cleaning.clean_numeric(sf.messy_customers(t), ["amount", "share"]),
+    "clean_code": lambda t: cleaning.clean_codes(sf.messy_customers(t), ["code"]),
+    "period_label": lambda t: cleaning.label_periods(sf.period_texts(t), "period_text"),
+    "sentinel_null": _clean_sentinels,
+    "parse_dates": lambda t: cleaning.iso_dates(cleaning.parse_dates(sf.date_texts(t), ["open_date"]), ["open_date"]),
+    "categorise": lambda t: cleaning.categorise_units(sf.typed_parts(t)),
+    "rank_to_score": lambda t: cleaning.rank_to_score(sf.ranked_zones(t)),
+    "derive_counts": lambda t: derive_counts(sf.gappy_counts(t)),
+    "locate_points": lambda t: cleaning.locate_points(sf.grid_points(t)),
+    "coalesce_attrs": lambda t: coalesce_attrs(_found(t)),
+    "join_with_source": _found,
+    "units_missing": lambda t: joins.units_missing(sf.part_units(t), sf.part_register(t)),
+    "best_name_match": lambda t: joins.best_name_match(
+        joins.units_missing(sf.part_units(t), sf.part_register(t)),
+        sf.part_register(t).join(t.part.select(F.col("p_partkey").alias("unit_id"), "p_name"), "unit_id"),
+        ["area_code", "latitude"], name=("result_name", "p_name")),
+    "interval_similarity_join": lambda t: joins.interval_similarity_join(sf.order_register(t)),
+    "lookup_fill": lambda t: joins.lookup_fill(*sf.part_zones(t), "postcode", "zone_code"),
+    "coverage_rates": _coverage,
+    "units": _build_units,
+    "dedupe_largest": lambda t: dedupe.keep_largest(t.orders, ["o_custkey"], "o_totalprice", [F.col("o_orderkey")]),
+    "latest_per_unit": lambda t: dedupe.latest_per_unit(st.results(t)),
+    "dedupe_first": lambda t: dedupe.keep_first(t.orders, ["o_custkey"], [F.col("o_orderkey")]),
+    "first_non_null": _first_non_null,
+    "one_to_one_links": lambda t: one_to_one_links(sf.order_links(t)),
+    "components": _components,
+    "lineage": lambda t: build_lineage(sf.order_results(t), sf.order_register(t), sf.order_links(t)),
+    "lineage_clashes": _clashes,
+    "lineage_units": _lineage_units,
+}
+
+
 def _over_panel(key: str, build: Callable[[Panel], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     reuse = key not in ("params_pivot", "unit_base", "weighted_means", "benchmark", "benchmark_trends",
                         "coverage_by_period")
     return lambda spark, folder: present(build(Panel(Tables(spark, folder), reuse)), key)
 
 
+def _over_tables(key: str, build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: present(build(Tables(spark, folder)), key)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _over_panel(key, build) for key, build in PANEL_QUERIES.items()}
+    out = {key: _over_panel(key, build) for key, build in PANEL_QUERIES.items()}
+    out.update({key: _over_tables(key, build) for key, build in TABLE_QUERIES.items()})
+    return out
