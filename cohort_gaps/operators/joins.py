@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import token_jaccard, token_set
+from ..session import cut_lineage
 
 # Names with more words than this are compared through shared words, the others through their word subsets.
 SUBSET_WORDS = 8
@@ -145,6 +146,15 @@ def _day(date: str) -> Column:
     return F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
 
 
+def _near_any(rows: DataFrame, others: DataFrame, names: list[str], day: str, other_day: str, gap: int) -> DataFrame:
+    """Rows that have any row of the other side about ``gap`` days away: one semi join over three wide buckets."""
+    wide = float(gap + 1)
+    buckets = others.select(*names, F.floor(F.col(other_day) / F.lit(wide)).cast("int").alias("_wide"))
+    steps = F.array(*[F.floor(F.col(day) / F.lit(wide)).cast("int") + F.lit(i) for i in (-1, 0, 1)])
+    spread = rows.withColumn("_wide", F.explode(steps))
+    return spread.join(buckets, [*names, "_wide"], "left_semi").drop("_wide").distinct()
+
+
 def interval_hubs(register: DataFrame, max_gap_days: int = 60, min_similarity: float = 0.5,
                   block: str = "postcode", name: str = "unit_name", key: str = "unit_id",
                   ends: str = "close_date", starts: str = "open_date") -> tuple[DataFrame, DataFrame]:
@@ -157,11 +167,16 @@ def interval_hubs(register: DataFrame, max_gap_days: int = 60, min_similarity: f
     named = register.filter(F.col(block).isNotNull()).select(
         F.col(block).alias("block"), token_set(name).alias("tokens"), F.col(key).alias("unit"),
         _day(ends).alias("end"), _day(starts).alias("start"))
-    closed = named.filter(F.col("end").isNotNull()).select("block", "tokens", "unit", "end")
-    opened = named.filter(F.col("start").isNotNull()).select("block", F.col("tokens").alias("r_tokens"), "unit",
-                                                             "start")
-    names = similar_names(closed.select("block", "tokens"),
-                          opened.select("block", F.col("r_tokens").alias("tokens")), min_similarity)
+    closed = named.filter(F.col("end").isNotNull())
+    opened = named.filter(F.col("start").isNotNull())
+    names = similar_names(closed.select("block", "tokens"), opened.select("block", "tokens"), min_similarity)
+    words, r_words = F.array_join("tokens", " ").alias("words"), F.array_join("r_tokens", " ").alias("r_words")
+    names = cut_lineage(names.select("block", words, r_words))
+    pair = ["block", "words", "r_words"]
+    ended = closed.select("block", words, "unit", "end").join(names, ["block", "words"])
+    begun = opened.select("block", F.array_join("tokens", " ").alias("r_words"), "unit", "start").join(
+        names, ["block", "r_words"])
+    ended = _near_any(ended, begun, pair, "end", "start", max_gap_days)
 
     low, high = F.col("end") - max_gap_days, F.col("end") + max_gap_days
     first = F.ceil(low / F.lit(float(BUCKET_DAYS))).cast("int")
@@ -172,35 +187,22 @@ def interval_hubs(register: DataFrame, max_gap_days: int = 60, min_similarity: f
                     .otherwise(none)).otherwise(F.sequence(low, high))
     after = F.when((first <= last) & ((last + 1) * BUCKET_DAYS <= high),
                    F.sequence((last + 1) * BUCKET_DAYS, high)).otherwise(none)
-    spans = F.concat(F.transform(whole, lambda b: F.struct(F.lit("b").alias("kind"), b.alias("at"))),
-                     F.transform(F.concat(before, after), lambda d: F.struct(F.lit("d").alias("kind"), d.alias("at"))))
-    days = F.array(F.struct(F.lit("b").alias("kind"), F.floor(F.col("start") / F.lit(float(BUCKET_DAYS))).cast("int")
-                            .alias("at")),
-                   F.struct(F.lit("d").alias("kind"), F.col("start").alias("at")))
-    hub = ["block", "tokens", "r_tokens", "span"]
-    ended = (closed.join(names, ["block", "tokens"]).select("unit", "block", "tokens", "r_tokens",
-                                                            F.explode(spans).alias("span")))
-    begun = (opened.join(names, ["block", "r_tokens"]).select("unit", "block", "tokens", "r_tokens",
-                                                              F.explode(days).alias("span")))
-    return ended.select("unit", *hub), begun.select("unit", *hub)
-
+    # Buckets and days share one number: a bucket is even, a day odd.
+    spans = F.concat(F.transform(whole, lambda b: b * 2), F.transform(F.concat(before, after), lambda d: d * 2 + 1))
+    days = F.array(F.floor(F.col("start") / F.lit(float(BUCKET_DAYS))).cast("int") * 2, F.col("start") * 2 + 1)
+    return (ended.select("unit", *pair, F.explode(spans).alias("span")),
+            begun.select("unit", *pair, F.explode(days).alias("span")))
 
-HUB = ["block", "tokens", "r_tokens", "span"]
 
-
-def interval_similarity_join(register: DataFrame, **options) -> DataFrame:
-    """Closed and opened units of one block with near dates and similar names: every pair once, and no other pair is
-    ever formed."""
-    ended, begun = interval_hubs(register, **options)
-    pairs = ended.withColumnRenamed("unit", "old_unit").join(begun.withColumnRenamed("unit", "new_unit"), HUB)
-    return pairs.filter(F.col("old_unit") != F.col("new_unit")).select("old_unit", "new_unit")
+HUB = ["block", "words", "r_words", "span"]
 
 
 def interval_similarity_edges(register: DataFrame, **options) -> DataFrame:
-    """Edges with the same connected components as the pairs, one per member instead of one per pair.
+    """Closed and opened units of one block with near dates and similar names, as edges to follow.
 
     All members of a hub with both sides and two or more units are connected through their pairs, so each is tied to
-    the largest of them.
+    the largest of them: the same units are met and the same groups result, with one edge per member of a hub instead
+    of one per pair.
     """
     ended, begun = interval_hubs(register, **options)
     members = ended.withColumn("side", F.lit(1)).unionByName(begun.withColumn("side", F.lit(2)))

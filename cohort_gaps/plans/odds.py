@@ -8,6 +8,7 @@ from ..functions import rank_key
 from ..operators.ranking import with_rank
 from ..operators.regression import ols_two
 from ..session import cut_lineage
+from .panel import per_period
 from .params import param
 
 # Evidence labels.
@@ -33,8 +34,7 @@ def odds_model(eligible: DataFrame) -> DataFrame:
 
 def odds_residuals(eligible: DataFrame, model: DataFrame) -> DataFrame:
     """Expected value, residual and z per row."""
-    # The model has one row per four-digit year, at most 10,000 rows of nine numbers.
-    joined = eligible.join(F.broadcast(model), "period")
+    joined = eligible.join(per_period(model), "period")
     expected = (F.col("my") + F.col("b_zone") * (F.col("zone_score") - F.col("m1"))
                 + F.col("b_pct") * (F.col("pct_focus") - F.col("m2")))
     return (joined.withColumn("score_focus_expected", expected)

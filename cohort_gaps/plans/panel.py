@@ -50,9 +50,16 @@ def benchmark(base: DataFrame) -> DataFrame:
         (F.col("basics_rest") - F.col("basics_focus")).alias("basics_gap"))
 
 
+def per_period(table: DataFrame) -> DataFrame:
+    """A table with one row per period, for broadcasting. The job fails on a period that is no four-digit year, so the
+    table has at most 10,000 rows."""
+    year = F.when(F.col("period").between(0, 9999), F.col("period")).otherwise(
+        F.raise_error(F.lit("a period must be a four-digit year")).cast("int"))
+    return F.broadcast(table.withColumn("period", year))
+
+
 def _benchmark_lookup(bench: DataFrame) -> DataFrame:
-    # One row per period, and a period is a four-digit year: at most 10,000 rows of five numbers.
-    return F.broadcast(bench.select("period", F.col("score_focus").alias("benchmark_score_focus"),
+    return per_period(bench.select("period", F.col("score_focus").alias("benchmark_score_focus"),
                                     F.col("score_rest").alias("benchmark_score_rest"),
                                     F.col("basics_rest").alias("_benchmark_basics_rest")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_number, half_even, normalise_code, numeric_id, percent, period_label, period_start, trim_all
 from ..operators.dedupe import keep_largest
-from ..plans.panel import GROUPS, MEASURE_COLUMNS, MEASURES
+from ..plans.panel import GROUPS, MEASURE_COLUMNS, MEASURES, per_period
 from . import layouts as lay
 from .files import newest_file, yearly_files
 from .text_tables import ORDER, pick, read_text_table, tidy_columns
@@ -101,8 +101,7 @@ def merge_results(long: DataFrame | None, wide: DataFrame | None) -> DataFrame:
         if merged is None:
             raise ValueError("no results: give a long or a wide source")
         return merged
-    # One row per period, and a period is a four-digit year: at most 10,000 rows.
-    fill = wide.join(F.broadcast(long.select("period").distinct()), "period", "left_anti")
+    fill = wide.join(per_period(long.select("period").distinct()), "period", "left_anti")
     return long.unionByName(fill, allowMissingColumns=True)
 
 

@@ -120,7 +120,7 @@ COLUMNS = {
     "join_with_source": "unit_id:i unit_name:s location_source:s",
     "units_missing": "unit_id:i result_name:s result_postcode:s",
     "best_name_match": "unit_id:i match_id:i similarity:d area_code:s latitude:d",
-    "interval_similarity_join": "old_unit:i new_unit:i",
+    "interval_similarity_join": "node:i component:i",
     "lookup_fill": "unit_id:i postcode:s zone_code:s",
     "coverage_rates": "n_rows:i rate:d is_low:i",
     "units": "unit_id:i lineage_id:i lineage_method:s unit_name:s postcode:s area_code:s area_name:s region:s "

@@ -145,7 +145,7 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
 
 def _lineage_units(t: Tables) -> DataFrame:
     rows = sf.order_results(t)
-    linked = rows.select("unit_id").join(build_lineage(rows, sf.order_register(t), sf.order_links(t)), "unit_id", "left")
+    linked = rows.select("unit_id").join(build_lineage(rows, cut_lineage(sf.order_register(t)), sf.order_links(t)), "unit_id", "left")
     # A lineage has at most one row per period.
     return linked.withColumn("n_periods", F.count(F.lit(1)).over(Window.partitionBy("lineage_id")))
 
@@ -208,7 +208,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         joins.units_missing(sf.part_units(t), sf.part_register(t)),
         sf.part_register(t).join(t.part.select(F.col("p_partkey").alias("unit_id"), "p_name"), "unit_id"),
         ["area_code", "latitude"], name=("result_name", "p_name")),
-    "interval_similarity_join": lambda t: joins.interval_similarity_join(sf.order_register(t)),
+    "interval_similarity_join": lambda t: connected_components(
+        joins.interval_similarity_edges(cut_lineage(sf.order_register(t))), "unit", "centre"),
     "lookup_fill": lambda t: joins.lookup_fill(*sf.part_zones(t), "postcode", "zone_code"),
     "coverage_rates": _coverage,
     "units": _build_units,
@@ -218,7 +219,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "first_non_null": _first_non_null,
     "one_to_one_links": lambda t: one_to_one_links(sf.order_links(t)),
     "components": _components,
-    "lineage": lambda t: build_lineage(sf.order_results(t), sf.order_register(t), sf.order_links(t)),
+    "lineage": lambda t: build_lineage(sf.order_results(t), cut_lineage(sf.order_register(t)),
+                                       sf.order_links(t)),
     "lineage_clashes": _clashes,
     "lineage_units": _lineage_units,
 }

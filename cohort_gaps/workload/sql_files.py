@@ -101,15 +101,10 @@ RELATIONS = {
         FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, CAST(max(l_shipdate) AS DATE) AS close_date
                                FROM lineitem GROUP BY 1) AS c USING (o_orderkey)"""),
     "order_kept": ("order_dim", "SELECT * FROM order_dim WHERE o_totalprice > 20000"),
-    "link_rows": ("", """
-        SELECT unnest(CASE WHEN o_totalprice > 450000 THEN [0, 1] ELSE [0] END) AS extra, *
-        FROM (SELECT o_orderkey, o_orderstatus, o_totalprice, lead(o_orderkey) OVER w AS following,
-                     first_value(o_orderkey) OVER w AS opening
-              FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS o"""),
-    "pairs": ("link_rows", """
-        SELECT DISTINCT o_orderkey AS pred, CASE WHEN extra = 1 THEN opening ELSE following END AS succ
-        FROM link_rows WHERE (extra = 1 AND opening <> o_orderkey)
-                          OR (extra = 0 AND following IS NOT NULL AND o_orderstatus <> 'P')"""),
+    "pairs": ("", """
+        SELECT o_orderkey AS pred, o_orderkey + 1 AS succ FROM orders WHERE o_orderstatus <> 'P'
+        UNION SELECT o_orderkey, o_orderkey - o_orderkey % 10 FROM orders
+        WHERE o_totalprice > 450000 AND o_orderkey % 10 <> 0"""),
     "single_pairs": ("pairs", """
         SELECT pred, succ FROM pairs
         WHERE pred IN (SELECT pred FROM pairs GROUP BY pred HAVING count(*) = 1)
@@ -120,6 +115,11 @@ RELATIONS = {
         FROM order_dim LEFT JOIN link_groups ON node = unit_id"""),
     **_lineage("", "order_dim"),
     **_lineage("kept_", "order_kept"),
+    "near_pairs": ("order_dim", f"""
+        SELECT a.unit_id AS old_unit, b.unit_id AS new_unit FROM order_dim a JOIN order_dim b USING (postcode)
+        WHERE a.unit_id <> b.unit_id AND abs(date_diff('day', a.close_date, b.open_date)) <= 60
+          AND {_jaccard('a.tokens', 'b.tokens')} >= 0.5"""),
+    "near_groups": ("near_pairs", _components("near_pairs", "old_unit", "new_unit")),
     "near_parts": ("", f"""
         SELECT unit_id, match_id, similarity, area_code, latitude
         FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY similarity DESC, match_id) AS place
@@ -231,10 +231,7 @@ QUERIES = {
     "units_missing": ("", """(SELECT p_partkey AS unit_id, p_name AS result_name, p_brand AS result_postcode FROM part
         WHERE p_size <= 5) AS q"""),
     "best_name_match": ("near_parts", "near_parts"),
-    "interval_similarity_join": ("order_dim", f"""(SELECT a.unit_id AS old_unit, b.unit_id AS new_unit
-        FROM order_dim a JOIN order_dim b USING (postcode) WHERE a.unit_id <> b.unit_id
-          AND abs(date_diff('day', a.close_date, b.open_date)) <= 60
-          AND {_jaccard('a.tokens', 'b.tokens')} >= 0.5) AS q"""),
+    "interval_similarity_join": ("near_groups", "near_groups"),
     "lookup_fill": ("", """(SELECT p_partkey AS unit_id, p_brand AS postcode, CASE WHEN p_size > 10 THEN p_type ELSE
         min(p_type) OVER (PARTITION BY p_brand) END AS zone_code FROM part) AS q"""),
     "coverage_rates": ("", """(SELECT count(*) AS n_rows, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS rate,

@@ -1,7 +1,7 @@
 """Published files, registers and links read out of the shared test tables, in the layouts the readers expect."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.panel import GROUPS, MEASURE_COLUMNS, MEASURES
@@ -189,22 +189,16 @@ def order_register(t: Tables) -> DataFrame:
 
 
 def order_links(t: Tables) -> DataFrame:
-    """Each order linked to the customer's next; expensive ones also to the first, so that links fan in and out.
-
-    The window holds the orders of one customer at a time.
-    """
-    spec = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    chained = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice",
-                              F.lead("o_orderkey").over(spec).alias("next"),
-                              F.first("o_orderkey").over(spec).alias("first"))
-    status, here, then = F.col("o_orderstatus"), F.col("o_orderkey"), F.col("next")
-    following = chained.filter(then.isNotNull()).select(
-        F.when(status == "O", then).otherwise(here).alias("unit_id"),
-        F.when(status == "O", here).otherwise(then).alias("link_id"),
+    """Each order linked to the one with the next key; expensive ones also to the first of their ten, so that links fan
+    in and out."""
+    status, here = F.col("o_orderstatus"), F.col("o_orderkey")
+    following = t.orders.select(
+        F.when(status == "O", here + 1).otherwise(here).alias("unit_id"),
+        F.when(status == "O", here).otherwise(here + 1).alias("link_id"),
         F.when(status == "F", "Successor").when(status == "O", "Predecessor").otherwise("Successor - amalgamated")
         .alias("link_type"))
-    extra = chained.filter("o_totalprice > 450000").select(here.alias("unit_id"), F.col("first").alias("link_id"),
-                                                           F.lit("Successor").alias("link_type"))
+    extra = t.orders.filter("o_totalprice > 450000").select(
+        here.alias("unit_id"), (here - here % 10).alias("link_id"), F.lit("Successor").alias("link_type"))
     return following.unionByName(extra)
 
 
