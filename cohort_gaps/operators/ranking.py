@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-SPLITS = 1024
+# At most 1,000 (``spark.sql.window.group.limit.threshold``), so that every map task keeps only that many per group.
+SPLITS = 992
 STRIDE = 32
 
 
