@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# At most 1,000 (``spark.sql.window.group.limit.threshold``), so that every map task keeps only that many per group.
+# At most 1,000 (``spark.sql.window.group.limit.threshold``), so that every map task keeps only that many per group,
+# and less than twice the first step of the search below.
 SPLITS = 992
-STRIDE = 32
+STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
 
 
 def _same(left: DataFrame, right: DataFrame, columns: list[tuple[str, str]]) -> Column:
@@ -27,7 +28,7 @@ def running_counts(df: DataFrame, groups: list[str], value: str, descending: boo
                    written: bool = False) -> DataFrame:
     """One row per (group, distinct value): ``n`` rows hold it and ``n_before`` rows sort ahead of it, NULLs last.
 
-    The counts are read four times, so they are written first, unless ``df`` is itself a written table.
+    The counts are read three times, so they are written first, unless ``df`` is itself a written table.
     """
     names = [f"_g{i}" for i in range(len(groups))] or ["_g0"]
     keys = [F.col(g).alias(n) for g, n in zip(groups, names)] or [F.lit(0).alias("_g0")]
@@ -38,18 +39,17 @@ def running_counts(df: DataFrame, groups: list[str], value: str, descending: boo
     splits = (counts.filter(F.col("_v").isNotNull())
               .withColumn("_pick", F.row_number().over(by_hash)).filter(F.col("_pick") <= SPLITS)
               .groupBy(*names).agg(F.sort_array(F.collect_list("_v"), asc=not descending).alias("_splits"))
-              .withColumn("_coarse", F.expr(f"filter(_splits, (s, i) -> i % {STRIDE} = 0)"))
-              .select(*[F.col(n).alias(f"{n}s") for n in names], "_splits", "_coarse"))
-
-    ahead = ">" if descending else "<"
-    bucket = F.expr(f"""CASE WHEN _v IS NULL THEN {SPLITS + 1}
-                             WHEN _block = 0 THEN 0
-                             ELSE (_block - 1) * {STRIDE}
-                                  + size(filter(slice(_splits, (_block - 1) * {STRIDE} + 1, {STRIDE}),
-                                                s -> s {ahead} _v)) END""")
-    bucketed = (counts.join(splits, _same(counts, splits, [(n, f"{n}s") for n in names]), "left")
-                .withColumn("_block", F.coalesce(F.expr(f"size(filter(_coarse, s -> s {ahead} _v))"), F.lit(0)))
-                .select(*names, "_v", "n", bucket.alias("_bucket")))
+              .select(*[F.col(n).alias(f"{n}s") for n in names], "_splits"))
+
+    # The bucket of a value is the number of split points ahead of it, found by bisection.
+    bucketed = counts.join(splits, _same(counts, splits, [(n, f"{n}s") for n in names]), "left").withColumn(
+        "_bucket", F.lit(0))
+    for step in STEPS:
+        split = F.get("_splits", F.col("_bucket") + (step - 1))
+        ahead = split > F.col("_v") if descending else split < F.col("_v")
+        bucketed = bucketed.withColumn("_bucket", F.col("_bucket") + F.when(ahead, step).otherwise(0))
+    bucketed = bucketed.select(*names, "_v", "n",
+                               F.when(F.col("_v").isNull(), SPLITS + 1).otherwise(F.col("_bucket")).alias("_bucket"))
 
     order = F.col("_v").desc_nulls_last() if descending else F.col("_v").asc_nulls_last()
     inside = (Window.partitionBy(*names, "_bucket").orderBy(order)
@@ -57,8 +57,8 @@ def running_counts(df: DataFrame, groups: list[str], value: str, descending: boo
     local = bucketed.withColumn("_to_here", F.sum("n").over(inside))
 
     in_front = Window.partitionBy(*[f"{n}b" for n in names]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (local.groupBy(*[F.col(n).alias(f"{n}b") for n in names], F.col("_bucket").alias("_b"))
-               .agg(F.max("_to_here").alias("_size"))
+    offsets = (bucketed.groupBy(*[F.col(n).alias(f"{n}b") for n in names], F.col("_bucket").alias("_b"))
+               .agg(F.sum("n").alias("_size"))
                .withColumn("_offset", F.coalesce(F.sum("_size").over(in_front), F.lit(0))).drop("_size"))
     on = _same(local, offsets, [(n, f"{n}b") for n in names] + [("_bucket", "_b")])
     return local.join(offsets, on).select(
@@ -88,7 +88,7 @@ def class_breaks(df: DataFrame, value: str, classes: int = 5) -> DataFrame:
     """Quantile classes: break ``i`` is the sorted value at ``floor((i + 1) * n / classes)``; the class of a row is the
     number of breaks not above its value, so equal values share a class. A row without a value has no class."""
     counts = running_counts(df.filter(F.col(value).isNotNull()), [], value, descending=False)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
+    total = df.agg(F.count(value).alias("total")).scalar()
     counts = counts.withColumn("_total", total)
     places = [F.floor(F.lit(i + 1) * F.col("_total") / F.lit(classes)) for i in range(classes - 1)]
     names = [f"break_{i + 1}" for i in range(classes - 1)]
