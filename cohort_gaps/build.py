@@ -49,9 +49,10 @@ def read_inputs(spark: SparkSession, folder: str) -> Inputs:
 
 def build_tables(spark: SparkSession, inputs: Inputs, warehouse: str, **thresholds: float) -> dict[str, DataFrame]:
     """Write the base tables once; everything after reads them."""
-    results = write_table(inputs.results.drop("result_name", "result_postcode"), f"{warehouse}/results", ["period"])
+    parsed = cut_lineage(inputs.results)
+    results = write_table(parsed.drop("result_name", "result_postcode"), f"{warehouse}/results", ["period"])
     register = write_table(inputs.register, f"{warehouse}/register")
-    unit_dim = write_table(units.build_units(inputs.results, register, inputs.links, inputs.directory),
+    unit_dim = write_table(units.build_units(parsed, register, inputs.links, inputs.directory),
                            f"{warehouse}/units")
     zones = write_table(inputs.zones, f"{warehouse}/zones")
     area_dim = write_table(areas.build_areas(unit_dim, register, zones), f"{warehouse}/areas")
@@ -76,7 +77,8 @@ def build_views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     flagged = cut_lineage(odds.odds(gaps, tables["params"]))
     area_moves, unit_moves = trends.area_trends(ranked), trends.unit_trends(gaps)
     built = (base, bench, gaps, ranked, odds.odds_ranked(flagged, written=True), odds.beating_the_odds(flagged),
-             trends.benchmark_trends(bench), area_moves, unit_moves, marts.dash_units(unit_moves, flagged), marts.dash_areas(area_moves, tables["areas"]))
+             trends.benchmark_trends(bench), area_moves, unit_moves, marts.dash_units(unit_moves, flagged),
+             marts.dash_areas(area_moves, tables["areas"]))
     return dict(zip(VIEWS, built, strict=True))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import iso_dates
 from ..operators.dedupe import latest_per_unit
 from ..operators.joins import best_name_match, join_with_source, lookup_fill, units_missing
-from ..session import cut_lineage
 from .lineage import build_lineage
 
 # What a unit that the register lacks borrows from its best match, and the labels of the sources.
@@ -42,8 +41,7 @@ def place_units(results: DataFrame, register: DataFrame) -> DataFrame:
 
 def build_units(results: DataFrame, register: DataFrame, links: DataFrame | None = None,
                 directory: DataFrame | None = None) -> DataFrame:
-    """The unit table, one row per unit with results."""
-    register = cut_lineage(register)
+    """The unit table, one row per unit with results. Results and register are read several times: give written tables."""
     units = coalesce_attrs(place_units(results, register))
     if directory is not None:
         units = lookup_fill(units, directory, "postcode", "zone_code")

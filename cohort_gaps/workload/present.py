@@ -89,6 +89,7 @@ COLUMNS = {
     # selections
     "kpi_tiles": f"period_label:s {_SELECTED} n_consistent:i",
     "area_ranking_selected": f"period_label:s area_name:s {_SELECTED} selected:d dense_rank:i",
+    "largest_areas": f"period_label:s area_name:s {_SELECTED} selected:d dense_rank:i",
     "class_breaks": "period:i area_code:s scale_of_need:d break_1:d break_2:d break_3:d break_4:d class:i",
     "dim_values": "period_label:s",
     # area dimension

@@ -135,6 +135,8 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
     "q5_one_area": lambda p: marts.units_of_area(p.dash_units, "NATION_4"),
     "kpi_tiles": lambda p: selection.kpi_tiles(p.dash_units, p.listed, region="EUROPE"),
     "area_ranking_selected": lambda p: selection.area_ranking_selected(p.dash_units, "scale_of_need"),
+    "largest_areas": lambda p: selection.largest_areas(
+        selection.area_ranking_selected(p.dash_units, "scale_of_need", period_label="1999-00"), "selected", 15),
     "class_breaks": lambda p: ranking.class_breaks(p.area_period, "scale_of_need", 5),
     "dim_values": lambda p: selection.dim_values([p.dash_units, p.dash_areas], "period_label"),
     "area_profile": lambda p: areas.area_profile(st.units(p.t)),
@@ -182,7 +184,7 @@ def _coverage(t: Tables) -> DataFrame:
 
 
 def _build_units(t: Tables) -> DataFrame:
-    register = sf.order_register(t).filter("easting > 20000")
+    register = cut_lineage(sf.order_register(t).filter("easting > 20000"))
     return build_units(sf.order_results(t), register, sf.order_links(t), sf.order_directory(t))
 
 
