@@ -73,7 +73,7 @@ def rank_to_score(zones: DataFrame) -> DataFrame:
                                F.count("zone_decile").alias("deciles")).alias("facts")).scalar()
     n, rank = facts.getField("n"), F.col("zone_rank")
     score = F.try_divide(F.lit(100.0) * (n - rank), n - 1)
-    decile = F.ceil(F.lit(10.0) * rank / n).cast("int")
+    decile = F.ceil(F.try_divide(F.lit(10.0) * rank, n)).try_cast("int")
     return zones.withColumns({
         "zone_score": F.when(facts.getField("scores") == 0, score).otherwise(F.col("zone_score")),
         "zone_decile": F.when(facts.getField("deciles") == 0, decile).otherwise(F.col("zone_decile"))})
@@ -99,9 +99,11 @@ def grid_constants() -> dict[str, float]:
     phi = math.radians(GRID_LAT)
     conformal = math.atan(math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi))))
     origin = conformal + sum(c * math.sin(2 * (j + 1) * conformal) for j, c in enumerate(forward))
-    inverse = (n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360, n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440,
+    inverse = (n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360,
+               n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440,
                17 * n ** 3 / 480 - 37 * n ** 4 / 840, 4397 * n ** 4 / 161280)
-    latitude = (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45, 7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45,
+    latitude = (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45,
+                7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45,
                 56 * n ** 3 / 15 - 136 * n ** 4 / 35, 4279 * n ** 4 / 630)
     turn = [math.radians(t / 3600) for t in SHIFT_TURN]
     a2, b2 = WGS84

@@ -149,7 +149,7 @@ def _day(date: str) -> Column:
 def _near_any(rows: DataFrame, others: DataFrame, names: list[str], day: str, other_day: str, gap: int) -> DataFrame:
     """Rows that have any row of the other side about ``gap`` days away: one semi join over three wide buckets."""
     wide = float(gap + 1)
-    buckets = others.select(*names, F.floor(F.col(other_day) / F.lit(wide)).cast("int").alias("_wide"))
+    buckets = others.select(*names, F.floor(F.col(other_day) / F.lit(wide)).cast("int").alias("_wide")).distinct()
     steps = F.array(*[F.floor(F.col(day) / F.lit(wide)).cast("int") + F.lit(i) for i in (-1, 0, 1)])
     spread = rows.withColumn("_wide", F.explode(steps))
     return spread.join(buckets, [*names, "_wide"], "left_semi").drop("_wide").distinct()

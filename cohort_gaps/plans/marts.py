@@ -40,6 +40,11 @@ def dash_areas(area_trends: DataFrame, areas: DataFrame) -> DataFrame:
     return area_trends.join(place, "area_code", "left").select(*AREA_COLUMNS)
 
 
+def count_by(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many rows there are of each kind, such as evidence, or lineage method by source of the place."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_gaps(area_trends: DataFrame, k: int = 10) -> DataFrame:
     """The areas whose focus group is furthest behind, latest period."""
     return (area_trends.filter(F.col("is_latest") == 1)

@@ -42,7 +42,8 @@ def benchmark(base: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_units"),
         F.sum("n_total").alias("n_total"),
         F.sum("n_focus").alias("n_focus"),
-        *[weighted_mean(f"n_{g}", f"{m}_{g}").alias(f"{m}_{g}") for m in ("score", "basics") for g in ("focus", "rest")])
+        *[weighted_mean(f"n_{g}", f"{m}_{g}").alias(f"{m}_{g}")
+          for m in ("score", "basics") for g in ("focus", "rest")])
     return totals.select(
         "*",
         percent("n_focus", "n_total").alias("pct_focus"),

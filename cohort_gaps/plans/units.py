@@ -41,7 +41,8 @@ def place_units(results: DataFrame, register: DataFrame) -> DataFrame:
 
 def build_units(results: DataFrame, register: DataFrame, links: DataFrame | None = None,
                 directory: DataFrame | None = None) -> DataFrame:
-    """The unit table, one row per unit with results. Results and register are read several times: give written tables."""
+    """The unit table, one row per unit with results. Results and register are read several times, so give written
+    tables."""
     units = coalesce_attrs(place_units(results, register))
     if directory is not None:
         units = lookup_fill(units, directory, "postcode", "zone_code")

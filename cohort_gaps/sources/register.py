@@ -37,8 +37,8 @@ def tidy_zones(raw: DataFrame) -> DataFrame:
     rows = cleaning.clean_numeric(rows, ["zone_score", "zone_rank", "zone_decile", "child_score", "child_decile",
                                          "population"])
     rows = cleaning.rank_to_score(rows)
-    rows = rows.withColumns({"zone_code": trim_all("zone_code"), "zone_decile": F.col("zone_decile").cast("int"),
-                             "child_decile": F.col("child_decile").cast("int")})
+    rows = rows.withColumns({"zone_code": trim_all("zone_code"), "zone_decile": F.col("zone_decile").try_cast("int"),
+                             "child_decile": F.col("child_decile").try_cast("int")})
     return keep_first(rows.filter(F.col("zone_code").isNotNull()), ["zone_code"], [F.col(ORDER)]).drop(ORDER)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean_number, half_even, normalise_code, numeric_id, percent, period_label, period_start, trim_all
+from ..functions import (clean_number, half_even, normalise_code, numeric_id, percent, period_label, period_start,
+                         trim_all)
 from ..operators.dedupe import keep_largest
 from ..plans.panel import GROUPS, MEASURE_COLUMNS, MEASURES, per_period
 from . import layouts as lay

@@ -17,7 +17,7 @@ _UNDEFINED_BYTES = "^(..)*(81|8D|8F|90|9D)"
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8``, else ``cp1252``, else ``latin-1`` where a byte has no meaning in cp1252. Reads lines, not whole files."""
+    """``utf-8``, else ``cp1252``, else ``latin-1`` where a byte has no meaning in cp1252. Reads line by line."""
     lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     found = lines.agg(F.count(F.lit(1)).alias("n"),
                       F.count_if(F.hex(F.col("value").cast("binary")).rlike(_UNDEFINED_BYTES)).alias("odd")).first()
@@ -36,7 +36,7 @@ def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) ->
     header = spark.read.options(**options, header=False).csv(path).first()
     if header is None:
         return spark.createDataFrame([], f"{ORDER} bigint")
-    names = [(h or "").lstrip("﻿") for h in header]
+    names = [(h or "").lstrip("\ufeff") for h in header]
     if encoding == "cp1252":
         names = [n.encode("latin-1").decode("cp1252") for n in names]
     places: dict[str, int] = {}

@@ -64,6 +64,7 @@ COLUMNS = {
                         "score_focus:d score_focus_expected:d residual:d residual_z:d gap_vs_benchmark:d "
                         "gap_within_unit:d progress_focus:d basics_focus:d beating_odds_latest:i periods_in_model:i "
                         "periods_beating_odds:i avg_residual:d avg_residual_z:d evidence:s",
+    "evidence_counts": "evidence:s n:i",
     "q6_model_summary": "period_label:s n_in_model:i b0:d b_zone:d b_pct:d residual_sd:d",
     "q4_consistent_in_region": "unit_name:s area_name:s unit_type:s zone_decile:i pct_focus:d score_focus:d "
                                "score_focus_expected:d periods_beating_odds:i periods_in_model:i",

@@ -119,6 +119,7 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
     "odds_flagged": lambda p: p.odds,
     "odds_ranked": lambda p: odds.odds_ranked(p.odds),
     "beating_the_odds": lambda p: p.listed,
+    "evidence_counts": lambda p: marts.count_by(p.listed, ["evidence"]),
     "q6_model_summary": lambda p: odds.model_summary(p.odds),
     "q4_consistent_in_region": lambda p: marts.consistent_in_region(p.listed, "ASIA"),
     "benchmark_trends": lambda p: trends.benchmark_trends(p.bench),
@@ -133,7 +134,7 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
     "q1_top_gaps": lambda p: marts.top_gaps(p.area_trends),
     "q2_scale_of_need": lambda p: marts.greatest_need(p.area_ranking),
     "q5_one_area": lambda p: marts.units_of_area(p.dash_units, "NATION_4"),
-    "kpi_tiles": lambda p: selection.kpi_tiles(p.dash_units, p.listed, region="EUROPE"),
+    "kpi_tiles": lambda p: selection.kpi_tiles(p.dash_units, p.listed, region="ASIA"),
     "area_ranking_selected": lambda p: selection.area_ranking_selected(p.dash_units, "scale_of_need"),
     "largest_areas": lambda p: selection.largest_areas(
         selection.area_ranking_selected(p.dash_units, "scale_of_need", period_label="1999-00"), "selected", 15),
@@ -147,7 +148,8 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
 
 def _lineage_units(t: Tables) -> DataFrame:
     rows = sf.order_results(t)
-    linked = rows.select("unit_id").join(build_lineage(rows, cut_lineage(sf.order_register(t)), sf.order_links(t)), "unit_id", "left")
+    lineages = build_lineage(rows, cut_lineage(sf.order_register(t)), sf.order_links(t))
+    linked = rows.select("unit_id").join(lineages, "unit_id", "left")
     # A lineage has at most one row per period.
     return linked.withColumn("n_periods", F.count(F.lit(1)).over(Window.partitionBy("lineage_id")))
 

@@ -86,8 +86,8 @@ def params(t: Tables) -> DataFrame:
     """Thresholds as rows, the share thresholds taken from the overall focus share."""
     share = t.lineitem.agg(F.round(F.lit(100.0) * F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1)), 2)
                            .alias("share"))
-    return share.select(F.expr("""stack(5, 'min_focus_cohort', floor(share * 0.66D) * 1.0D, 'odds_z', 1.0D,
-        'deprived_decile', 3.0D, 'deprived_area_min_pct', share, 'deprived_pct', share + 8.0D) AS (name, value)"""))
+    return share.select(F.expr("""stack(5, 'min_focus_cohort', floor(share * 0.66D) * 1.0D, 'odds_z', 0.5D,
+        'deprived_decile', 5.0D, 'deprived_area_min_pct', share, 'deprived_pct', share + 4.0D) AS (name, value)"""))
 
 
 def area_register(t: Tables) -> DataFrame:
