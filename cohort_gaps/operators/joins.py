@@ -107,37 +107,40 @@ def best_name_match(missing: DataFrame, register: DataFrame, fields: list[str],
         key, "match_id", "similarity", *fields)
 
 
-def _prefix(names: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+def _entries(names: DataFrame, threshold: float) -> DataFrame:
     """Index entries of each word set: for every size its partner may have, the words one of which both must share.
 
     Words are taken rarest first, so that common words are rarely an entry.
     """
-    ordered = (names.select("block", "tokens", F.explode("tokens").alias("word")).join(words, ["block", "word"])
-               .groupBy("block", "tokens").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-               .select("block", "tokens", F.col("ranked.word").alias("ranked"), F.size("tokens").alias("size")))
+    single = names.select("block", "tokens", "on_left", "on_right", F.explode("tokens").alias("word"))
+    words = single.groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"))
+    ordered = (single.join(words, ["block", "word"]).groupBy("block", "tokens", "on_left", "on_right")
+               .agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("ranked"))
+               .select("block", "tokens", "on_left", "on_right", F.col("ranked.word").alias("ranked"),
+                       F.size("tokens").alias("size")))
     low = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
     high = F.floor(F.col("size") / threshold + 1e-9).cast("int")
     sized = ordered.withColumn("other", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
     overlap = F.ceil((F.col("size") + F.col("other")) * (threshold / (1 + threshold)) - 1e-9).cast("int")
     kept = F.expr("slice(ranked, 1, size - overlap + 1)")
     return (sized.withColumn("overlap", F.greatest(overlap, F.lit(1))).filter("overlap <= least(size, other)")
-            .select("block", "tokens", "size", "other", F.explode(kept).alias("word")))
+            .select("block", "tokens", "on_left", "on_right", "size", "other", F.explode(kept).alias("word")))
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     """Pairs of word sets of one block with a Jaccard similarity of at least ``threshold`` (above 0).
 
-    Both sides are ``(block, tokens)``. Candidates share one of their rarest words and have sizes that can reach the
-    threshold; each pair of word sets is met once, however many units carry the names.
+    ``names`` is ``(block, tokens, on_left, on_right)``; a pair has its first set on the left and its second on the
+    right. Candidates share one of their rarest words and have sizes that can reach the threshold; each pair of word
+    sets is met once, however many units carry the names.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    left, right = left.distinct(), right.distinct()
-    words = (left.unionByName(right).distinct().select("block", F.explode("tokens").alias("word"))
-             .groupBy("block", "word").agg(F.count(F.lit(1)).alias("n")))
-    a = _prefix(left, words, threshold)
-    b = _prefix(right, words, threshold).select("block", "word", F.col("tokens").alias("r_tokens"),
-                                                F.col("size").alias("other"), F.col("other").alias("size"))
+    once = names.groupBy("block", "tokens").agg(F.max("on_left").alias("on_left"), F.max("on_right").alias("on_right"))
+    entries = _entries(once.filter(F.size("tokens") > 0), threshold)
+    a = entries.filter("on_left").select("block", "word", "tokens", "size", "other")
+    b = entries.filter("on_right").select("block", "word", F.col("tokens").alias("r_tokens"),
+                                          F.col("size").alias("other"), F.col("other").alias("size"))
     pairs = a.join(b, ["block", "word", "size", "other"]).select("block", "tokens", "r_tokens").distinct()
     return pairs.filter(token_jaccard("tokens", "r_tokens") >= F.lit(threshold - 1e-12))
 
@@ -169,7 +172,8 @@ def interval_hubs(register: DataFrame, max_gap_days: int = 60, min_similarity: f
         _day(ends).alias("end"), _day(starts).alias("start"))
     closed = named.filter(F.col("end").isNotNull())
     opened = named.filter(F.col("start").isNotNull())
-    names = similar_names(closed.select("block", "tokens"), opened.select("block", "tokens"), min_similarity)
+    names = similar_names(named.select("block", "tokens", F.col("end").isNotNull().alias("on_left"),
+                                       F.col("start").isNotNull().alias("on_right")), min_similarity)
     words, r_words = F.array_join("tokens", " ").alias("words"), F.array_join("r_tokens", " ").alias("r_words")
     names = cut_lineage(names.select("block", words, r_words))
     pair = ["block", "words", "r_words"]

@@ -218,9 +218,11 @@ def test_one_name_in_one_block_needs_one_edge_per_member(spark):
 
 
 def test_similar_names_rejects_zero(spark):
-    df = spark.createDataFrame([("A", ["x"])], "block string, tokens array<string>")
+    df = spark.createDataFrame([("A", ["x"], True, True)],
+                               "block string, tokens array<string>, on_left boolean, on_right boolean")
     with pytest.raises(ValueError):
-        joins.similar_names(df, df, 0.0)
+        joins.similar_names(df, 0.0)
+    assert joins.similar_names(df, 1.0).count() == 1
 
 
 def test_null_blocks_never_match(spark):
