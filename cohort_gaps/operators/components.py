@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """``(node, component)`` for every node of an edge, ``component`` being the largest node of its component.
+def connected_components(edges: DataFrame, left: str, right: str, smallest: bool = False) -> DataFrame:
+    """``(node, component)`` for every node of an edge, ``component`` being the largest node of its component, or with
+    ``smallest`` the smallest.
 
     Each round every node moves to the neighbour (or itself) that is first in a random order drawn for the round; edges
     follow their ends, and loops and doubles go. The edge table shrinks by a factor each round, so the rounds grow with
@@ -42,5 +43,5 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         later = root.select(F.col("node").alias("to"), F.col("root"))
         root = move.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     root = cut_lineage(root)
-    largest = root.groupBy("root").agg(F.max("node").alias("component"))
-    return root.join(largest, "root").select("node", "component")
+    named = root.groupBy("root").agg((F.min if smallest else F.max)("node").alias("component"))
+    return root.join(named, "root").select("node", "component")
