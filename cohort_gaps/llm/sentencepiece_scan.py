@@ -22,6 +22,7 @@ from .text import _mix
 GIANT, CHUNK = 1 << 16, 1 << 13
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+LAST_RESORT = -1e8
 UNKNOWN = -1
 NONE = -np.inf
 # Chunks whose matrices are computed together.
@@ -35,6 +36,11 @@ def _proto(path: str):
     with open(path, "rb") as file:
         proto.ParseFromString(file.read())
     proto.trainer_spec.model_type = 1  # unigram
+    # A score of -1e9 marks a last resort; beside it single precision would not tell other scores apart.
+    least = min(p.score for p in proto.pieces if p.score > LAST_RESORT)
+    for piece in proto.pieces:
+        if piece.score <= LAST_RESORT:
+            piece.score = least - 1
     return proto
 
 
