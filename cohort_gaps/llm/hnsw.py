@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
 from ..session import cut_lineage
 from .text import _mix
+from .unions import components
 
 COSINE = 0.98
 # Most vectors of a shard, in the mean; a task holds one shard and one block of queries of this size.
@@ -62,16 +62,26 @@ class Graph:
         links = self.layers[level]
         chosen = self._diverse(near, sims, NEIGHBOURS)
         links[batch, :NEIGHBOURS] = chosen
-        source = np.repeat(batch, chosen.shape[1])
-        target = chosen.ravel()
+        source, target = np.repeat(batch, chosen.shape[1]), chosen.ravel()
         source, target = source[target >= 0], target[target >= 0]
-        for node in np.unique(target):
-            both = np.unique(np.concatenate((links[node][links[node] >= 0], source[target == node]))).astype(np.int32)
-            both = both[both != node]
-            own = (self.vectors[both] @ self.vectors[node])[None, :]
-            kept = self._diverse(both[None, :], own, links.shape[1])[0]
-            links[node] = -1
-            links[node, :len(kept)] = kept
+        # The nearest new links of each node join its old ones.
+        closeness = np.einsum("kd,kd->k", self.vectors[source], self.vectors[target])
+        order = np.lexsort((-closeness, target))
+        source, target = source[order], target[order]
+        nodes, first, counts = np.unique(target, return_index=True, return_counts=True)
+        place = np.arange(len(target)) - np.repeat(first, counts)
+        near_enough = place < 2 * NEIGHBOURS
+        fresh = np.full((len(nodes), 2 * NEIGHBOURS), -1, np.int32)
+        fresh[np.repeat(np.arange(len(nodes)), counts)[near_enough], place[near_enough]] = source[near_enough]
+        for at in range(0, len(nodes), 1024):
+            own = nodes[at:at + 1024]
+            old = links[own]
+            new = fresh[at:at + 1024]
+            new = np.where((new[:, :, None] == old[:, None, :]).any(2), -1, new)
+            both = np.concatenate((old, new), 1)
+            sims = np.einsum("rkd,rd->rk", self.vectors[np.maximum(both, 0)], self.vectors[own])
+            sims[both < 0] = -np.inf
+            links[own] = self._diverse(both, sims, links.shape[1])
 
     def _diverse(self, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Neighbours in order of similarity, those first that are closer to the new vector than to one chosen before."""
@@ -80,7 +90,7 @@ class Graph:
         rows, width = near.shape
         valid = (near >= 0) & np.isfinite(sims)
         vectors = self.vectors[np.maximum(near, 0)]
-        between = np.einsum("rid,rjd->rij", vectors, vectors)
+        between = vectors @ vectors.transpose(0, 2, 1)
         chosen = np.zeros((rows, width), bool)
         for k in range(width):
             clash = (chosen & (between[:, k, :] > sims[:, k, None])).any(1)
@@ -248,7 +258,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
 
     linked = cut_lineage(parts.groupBy("label", "dim", "shard", "block").applyInArrow(group, "a long, b long, n long"))
     counts = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    united = connected_components(linked.select("a", "b"), "a", "b", smallest=True).withColumnRenamed("node", "rep")
+    united = components(linked.filter("a <> b")).withColumnRenamed("node", "rep")
     known = nodes.join(counts, "rep", "left").join(united, "rep", "left").select(
         "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"))

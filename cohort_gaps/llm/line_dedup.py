@@ -9,18 +9,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
 from ..session import cut_lineage
-from .text import _mix, slices
+from .text import _mix, slices, words
+from .unions import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 # A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.99, one at 0.85 with 0.999; lines
 # with a tenth of their shingles in common do so once in 8,000 pairs.
 BANDS, ROWS = 12, 5
+EMPTY = 0xFFFFFFFF
+PRIME32 = np.uint32(0x01000193)
 
 
 def _name(line: str) -> Column:
@@ -36,88 +39,124 @@ def lines_of(docs: DataFrame) -> DataFrame:
         F.col("line") != "")
 
 
-def minhash(column: pa.Array, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """``[line, band]`` hashes of the lines of a text column, from one permutation in ``bands * rows`` bins.
-
-    A shingle falls in one bin and each bin keeps its least hash; an empty bin borrows that of another bin, drawn by
-    hash until a filled one is found, so that short lines still agree in proportion to their similarity.
-    """
-    bins = bands * rows
-    out = []
-    for _, data, offsets in slices(column):
-        lengths = np.diff(offsets)
-        # Shingles are taken over characters: positions of the first bytes of code points.
-        heads = np.flatnonzero((data & 0xC0) != 0x80)
-        per_line = np.searchsorted(heads, offsets)
-        chars = np.diff(per_line)
-        counts = np.maximum(chars - SHINGLE + 1, 1)
-        first = np.repeat(per_line[:-1], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        code = np.concatenate((_code_points(data, heads), np.zeros(SHINGLE, np.uint32))).astype(np.uint64)
-        line = np.repeat(np.arange(len(lengths)), counts)
-        short = np.repeat(chars, counts)
-        hashed = np.zeros(len(first), np.uint64)
-        for k in range(SHINGLE):
-            inside = code[first + k] if k == 0 else np.where(k < short, code[first + k], 0)
-            hashed = hashed * np.uint64(0x100000001B3) + inside + np.uint64(1)
-        hashed = _mix(hashed)
-        low = np.full(len(lengths) * bins, 0xFFFFFFFF, np.uint64)
-        bin_of = (hashed >> np.uint64(32)) % np.uint64(bins)
-        np.minimum.at(low, line * bins + bin_of.astype(np.int64), hashed & np.uint64(0xFFFFFFFE))
-        low = low.reshape(len(lengths), bins)
-        row, col = np.nonzero(low == 0xFFFFFFFF)
-        source, turn = low.copy(), 0
-        while len(row):
-            turn += 1
-            other = (_mix((col * 1_000_003 + turn).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
-            found = source[row, other]
-            good = found != 0xFFFFFFFF
-            # The borrowed value is marked with its place, as in any other line with the same shingles.
-            low[row[good], col[good]] = found[good] + np.uint64(turn) * np.uint64(1 << 33)
-            row, col = row[~good], col[~good]
-        joined = np.zeros((len(lengths), bands), np.uint64)
-        for k in range(rows):
-            joined = joined * np.uint64(0x9E3779B97F4A7C15) + _mix(low[:, k::rows] + np.uint64(1))
-        out.append(_mix(joined + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-    return np.concatenate(out) if out else np.zeros((0, bands), np.uint64)
-
-
-def _code_points(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
+def code_points(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """The code points of valid UTF-8 whose characters begin at ``heads``."""
-    padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.uint32)
-    a = padded[heads]
-    code = a.copy()
+    code = data[heads].astype(np.uint32)
+    at = np.flatnonzero(code >= 0xC0)
+    lead, first = code[at], heads[at]
     for least, keep, size in ((0xC0, 0x1F, 2), (0xE0, 0x0F, 3), (0xF0, 0x07, 4)):
-        at = np.flatnonzero(a >= least)
-        value = a[at] & keep
-        for k in range(1, size):
-            value = (value << 6) | (padded[heads[at] + k] & 0x3F)
-        code[at] = value
+        own = lead >= least
+        if own.any():
+            value = lead[own] & keep
+            for k in range(1, size):
+                value = (value << 6) | (data[np.minimum(first[own] + k, len(data) - 1)] & 0x3F)
+            code[at[own]] = value
     return code
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """``(id, bands)`` of lines ``(line, id)``; of equal lines in one Arrow batch only the first is hashed."""
+def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number, first and last byte border of every line with a word, its ends trimmed."""
+    found = words(data, offsets)
+    breaks = np.flatnonzero(data == 10)
+    text = found.text_of()
+    number = np.searchsorted(breaks, found.starts) - np.searchsorted(breaks, offsets)[text]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(text)) - 1
+    return text[first], number[first], found.starts[first], found.ends[last[:len(first)]]
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def minhash(code: np.ndarray, begins: np.ndarray, chars: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """``[line, band]`` hashes of lines of ``chars`` characters from ``code[begins]`` on.
+
+    One permutation deals the shingles to ``bands * rows`` bins and each bin keeps its least hash; an empty bin borrows that
+    of another bin, drawn by hash until a filled one is found, so that short lines still agree in proportion to their
+    similarity.
+    """
+    bins = bands * rows
+    mixed = _mix32(np.concatenate((code, np.zeros(SHINGLE, np.uint32))) + np.uint32(1))
+    window = np.zeros(len(code), np.uint32)
+    for k in range(SHINGLE):
+        window = window * PRIME32 + mixed[k:k + len(code)]
+    counts = np.maximum(chars - SHINGLE + 1, 1)
+    at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    hashed = window[at]
+    short = np.flatnonzero(chars < SHINGLE)  # one shingle: the line itself
+    if len(short):
+        value = np.zeros(len(short), np.uint32)
+        for k in range(SHINGLE - 1):
+            value = value * PRIME32 + np.where(k < chars[short], mixed[np.minimum(begins[short] + k, len(code))],
+                                               np.uint32(k))
+        hashed[(np.cumsum(counts) - counts)[short]] = value
+    hashed = _mix32(hashed)
+    bin_of = ((hashed.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    low = np.full(len(chars) * bins, EMPTY, np.uint32)
+    np.minimum.at(low, np.repeat(np.arange(len(chars)) * bins, counts) + bin_of, hashed)
+    low = low.reshape(len(chars), bins).astype(np.uint64)
+    row, col = np.nonzero(low == EMPTY)
+    source, turn = low.copy(), 0
+    while len(row):
+        turn += 1
+        other = (_mix((col * 1_000_003 + turn).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
+        found = source[row, other]
+        good = found != EMPTY
+        # The borrowed value is marked with its turn, as in any other line with the same shingles.
+        low[row[good], col[good]] = found[good] + np.uint64(turn) * np.uint64(1 << 33)
+        row, col = row[~good], col[~good]
+    joined = np.zeros((len(chars), bands), np.uint64)
+    for k in range(rows):
+        joined = joined * np.uint64(0x9E3779B97F4A7C15) + _mix(low[:, k::rows] + np.uint64(1))
+    return _mix(joined + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, id, bands)`` of every line with something on it, of the rows that have an id.
+
+    Of equal lines in one Arrow batch only the first has ``bands``, so a line that very many documents share is hashed once
+    for many of them. ``id`` is Spark's ``xxhash64`` of the trimmed line.
+    """
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, first = np.unique(batch.column(1).to_numpy(), return_index=True)
-            bands = minhash(batch.column(0).take(pa.array(first))).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS),
-                                             pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["id", "bands"])
-
-    return lines.select("line", "id").mapInArrow(batches, "id long, bands array<long>")
+            doc_ids, seen = batch.column(0).to_numpy(), set()
+            for row, data, offsets in slices(batch.column(1)):
+                text, number, starts, ends = split_lines(data, offsets)
+                raw = data.tobytes()
+                names = [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())]
+                fresh = [k for k, name in enumerate(names) if not (name in seen or seen.add(name))]
+                heads = np.flatnonzero((data & 0xC0) != 0x80)
+                begins, stops = np.searchsorted(heads, starts[fresh]), np.searchsorted(heads, ends[fresh])
+                bands = minhash(code_points(data, heads), begins, stops - begins).view(np.int64)
+                filled = np.zeros(len(names) + 1, np.int32)
+                filled[1:][fresh] = BANDS
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(filled, dtype=np.int32)), pa.array(bands.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc_ids[row + text]), pa.array(number.astype(np.int32)),
+                     pa.array(np.array(names, np.uint64).view(np.int64)), lists], ["doc_id", "line_no", "id", "bands"])
+
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.mapInArrow(batches, "doc_id long, line_no int, id long, bands array<long>")
 
 
 def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs ``(a, b)`` of ``(a, b, line_a, line_b)`` whose character shingle sets reach the threshold, counted exactly."""
-    def shingles(line: str) -> set[str]:
-        return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+    def shingles(line: str, known: dict[str, set[str]]) -> set[str]:
+        if line not in known:
+            known[line] = {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+        return known[line]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            keep = []
+            keep, known = [], {}
             for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
-                x, y = shingles(a), shingles(b)
+                x, y = shingles(a, known), shingles(b, known)
                 both = len(x & y)
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             kept = batch.filter(pa.array(keep, pa.bool_()))
@@ -133,14 +172,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(jaccard_pairs(with_b.select("a", "b", "line_a", "line_b")))
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """``(id, root)`` of the lines in a component of two or more different lines; ``lines`` is ``(line, id)``.
+def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(id, root)`` of the lines in a component of two or more different lines.
+
+    ``signed`` is a written table of ``(id, bands)``; ``lines`` is ``(line, id)``.
 
     In each bucket every line meets the bucket's first line. Lines that this joins need no further pair among
     themselves. Those left over in a bucket, and only those, then meet every line of the bucket that is not yet in their
     component, so no link is lost and a bucket of true copies costs one pair per line.
     """
-    rows = cut_lineage(_bands(lines)).select(F.explode("bands").alias("band"), "id")
+    rows = signed.select(F.explode("bands").alias("band"), "id")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     members = cut_lineage(rows.join(shared, "band").distinct())
     firsts = members.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
@@ -148,7 +189,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     texts = cut_lineage(lines.join(members.select("id").distinct(), "id", "left_semi")
                         .groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")).select("id", "line"))
     star = _verified(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), texts)
-    roots = cut_lineage(connected_components(star, "a", "b", smallest=True))
+    roots = components(star)
 
     def rooted(df: DataFrame, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(name), F.col("component").alias(f"{name}_root")), name,
@@ -165,7 +206,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     more = left_over.join(meets, "band").filter("a_root <> b_root").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = star.unionByName(_verified(more, texts))
-    return connected_components(edges, "a", "b", smallest=True).select(F.col("node").alias("id"),
+    return components(edges).select(F.col("node").alias("id"),
                                                                        F.col("component").alias("root"))
 
 
@@ -177,12 +218,11 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     ``doc_id`` take no part, repeated rows of a document are further copies at the same place and change nothing, and an
     empty table has no duplicates.
     """
-    lines = lines_of(docs).withColumn("id", _name("line"))
-    found = line_components(lines.select("line", "id"))
-    copied = (lines.select("doc_id", "line_no", "id").groupBy("id")
-              .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
+    signed = cut_lineage(signed_lines(docs))
+    found = line_components(signed, lines_of(docs).select("line", _name("line").alias("id")))
+    copied = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
     marked = cut_lineage(copied.join(found, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
-    placed = cut_lineage(lines.select("doc_id", "line_no", "id").join(marked, "id").select("doc_id", "line_no", "root"))
+    placed = cut_lineage(signed.join(marked, "id").select("doc_id", "line_no", "root"))
     kept = placed.groupBy("root").agg(F.min("doc_id").alias("keep_doc"))
     of_doc = (placed.join(kept, "root").filter("doc_id = keep_doc").groupBy("root", "keep_doc")
               .agg(F.min("line_no").alias("keep_line")))

@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .text import LOWER, combine, previous, slices, sum_per_text, words
 
-CLASSES = 32
+CLASSES = 16
 END_CLASS = CLASSES - 1
 END = np.uint64(0x656E64)
-KINDS, SLOTS = 4, 1 << 13
-ROWS = KINDS * SLOTS + 1  # and the bias
-BATCH, RATE = 1 << 14, 0.5
+KINDS, SLOT_BITS = 4, 13
+SLOTS = 1 << SLOT_BITS
+WEIGHTS = KINDS * CLASSES * SLOTS + CLASSES  # and the bias
+BATCH, RATE = 1 << 15, 0.5
 SMOOTHING = 0.1
 # Documents of a block, in the mean: what one task reads, counts and learns from.
 BLOCK_DOCS = 4096
-# Weight rows of one message.
-MESSAGE = 1024
+# Weights of one message.
+MESSAGE = 1 << 15
 
 
 def held_out() -> Column:
@@ -51,43 +52,54 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def contexts(hashed: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """``[token, feature kind]`` rows of the weight table."""
+    """``[feature kind, token]`` slots of the weight tables."""
     one, two = previous(hashed, begins, 1), previous(hashed, begins, 2)
     k1, k2, k3 = (previous(kind, begins, k, END_CLASS) for k in (1, 2, 3))
-    features = (combine(1, one), combine(2, two, one), combine(3, two), combine(4, k1, k2, k3))
-    return np.stack([(f % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS for k, f in enumerate(features)], 1)
+    classes = ((k1 * CLASSES + k2) * CLASSES + k3) % SLOTS
+    features = (one, two + np.uint64(0x9E3779B97F4A7C15) * one, two)
+    return np.stack([*[((f * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+                       for f in features], classes])
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[-1] + weights[rows[:, 0]]
+def log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """``[class, token]`` log probabilities; ``weights`` is ``[feature kind, class, slot]``."""
+    logits = np.take(weights[0], slots[0], axis=1)
+    logits += bias[:, None]
     for k in range(1, KINDS):
-        logits += weights[rows[:, k]]
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+        logits += np.take(weights[k], slots[k], axis=1)
+    logits -= logits.max(0)
+    return logits - np.log(np.exp(logits).sum(0))
 
 
 class Learner:
     """Weights of one block with their squared gradients."""
 
     def __init__(self) -> None:
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
-        self.squares = np.ones((ROWS, CLASSES), np.float32)
-
-    def _move(self, rows: np.ndarray | int, gradient: np.ndarray) -> None:
-        self.squares[rows] += gradient * gradient
-        self.weights[rows] -= RATE * gradient / np.sqrt(self.squares[rows])
-
-    def learn(self, rows: np.ndarray, target: np.ndarray) -> None:
-        for at in range(0, len(rows), BATCH):
-            own, y = rows[at:at + BATCH], target[at:at + BATCH]
-            gradient = np.exp(log_softmax(self.weights, own))
-            gradient[np.arange(len(y)), y] -= 1.0
-            self._move(-1, gradient.sum(0))
+        self.weights = np.zeros((KINDS, CLASSES, SLOTS), np.float32)
+        self.squares = np.ones((KINDS, CLASSES, SLOTS), np.float32)
+        self.bias, self.bias_squares = np.zeros(CLASSES, np.float32), np.ones(CLASSES, np.float32)
+
+    def learn(self, slots: np.ndarray, target: np.ndarray) -> None:
+        """One gradient step for each batch of tokens."""
+        for at in range(0, slots.shape[1], BATCH):
+            own, y = slots[:, at:at + BATCH], target[at:at + BATCH]
+            gradient = np.exp(log_softmax(self.weights, self.bias, own))
+            gradient[y, np.arange(len(y))] -= 1.0
+            whole = gradient.sum(1)
+            self.bias_squares += whole * whole
+            self.bias -= RATE * whole / np.sqrt(self.bias_squares)
             for k in range(KINDS):
-                order = np.argsort(own[:, k], kind="stable")
-                sorted_rows = own[order, k]
-                first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-                self._move(sorted_rows[first], np.add.reduceat(gradient[order], first, axis=0))
+                for c in range(CLASSES):
+                    g = np.bincount(own[k], gradient[c], minlength=SLOTS).astype(np.float32)
+                    self.squares[k, c] += g * g
+                    self.weights[k, c] -= RATE * g / np.sqrt(self.squares[k, c])
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate((self.weights.ravel(), self.bias))
+
+
+def unflat(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return values[:-CLASSES].reshape(KINDS, CLASSES, SLOTS), values[-CLASSES:]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -99,7 +111,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def learn_blocks(keyed: DataFrame) -> DataFrame:
     """One pass over every block: ``(block, hash, class, n)`` of its tokens, ``n`` of them in training rows, and its weights
-    as rows ``(block, first row, payload, n)`` with ``n`` training tokens."""
+    as rows ``(block, first weight, payload, n)`` with ``n`` training tokens."""
     schema = "block long, hash long, class int, n long, payload binary"
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
@@ -109,8 +121,7 @@ def learn_blocks(keyed: DataFrame) -> DataFrame:
         for row, data, offsets in slices(table["text"]):
             hashed, kind, begins = tokens(data, offsets)
             use = np.repeat(train[row:row + len(offsets) - 1], np.diff(begins))
-            rows = contexts(hashed, kind, begins)
-            learner.learn(rows[use], kind[use])
+            learner.learn(contexts(hashed, kind, begins)[:, use], kind[use])
             learned += int(use.sum())
             own, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
             parts.append((own, kind[first], np.bincount(inverse, use, minlength=len(own))))
@@ -118,7 +129,8 @@ def learn_blocks(keyed: DataFrame) -> DataFrame:
         own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         kinds = np.concatenate([p[1] for p in parts])[first]
         counts = np.bincount(inverse, np.concatenate([p[2] for p in parts]), minlength=len(own)).astype(np.int64)
-        sent = [(at, (learner.weights[at:at + MESSAGE] * np.float32(learned)).tobytes()) for at in range(0, ROWS, MESSAGE)]
+        weights = learner.flat() * np.float32(learned)
+        sent = [(at, weights[at:at + MESSAGE].tobytes()) for at in range(0, WEIGHTS, MESSAGE)]
         n, m, no = len(own), len(sent), key[0].as_py()
         return pa.table({
             "block": pa.array(np.full(n + m, no, np.int64)),
@@ -134,32 +146,32 @@ def average(learned: DataFrame) -> np.ndarray:
     """The blocks' weights averaged by their training tokens; the driver sees the average only."""
     sent = learned.filter("class = -1")
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
+    def added(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, int]:
+        total, n = np.zeros(0), 0
         for batch in batches:
             for payload, own in zip(batch.column("payload"), batch.column("n").to_pylist()):
                 values = np.frombuffer(payload.as_buffer(), np.float32).astype(np.float64)
-                total, n = values if total is None else total + values, n + own
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()]), pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())],
-            ["hash", "payload"])
+                total, n = values if not n and not len(total) else total + values, n + own
+        return total, n
 
-    # A second key spreads a message over tasks before its parts are added up.
     def part(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for batch in batches:
-            for payload, own in zip(batch.column("payload"), batch.column("n").to_pylist()):
-                values = np.frombuffer(payload.as_buffer(), np.float32).astype(np.float64)
-                total, n = values if total is None else total + values, n + own
+        total, n = added(batches)
         yield pa.RecordBatch.from_arrays(
             [pa.array([key[0].as_py()]), pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())],
             ["hash", "n", "payload"])
 
-    spread = sent.withColumn("lane", F.pmod("block", F.lit(64)))
-    added = spread.groupBy("hash", "lane").applyInArrow(part, "hash long, n long, payload binary")
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    for row in added.groupBy("hash").applyInArrow(add, "hash long, payload binary").toLocalIterator():
-        own = np.frombuffer(bytes(row["payload"]), np.float32).reshape(-1, CLASSES)
+    def whole(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = added(batches)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()]), pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())],
+            ["hash", "payload"])
+
+    # A second key spreads a message over tasks before its parts are added up.
+    lanes = sent.withColumn("lane", F.pmod("block", F.lit(64))).groupBy("hash", "lane").applyInArrow(
+        part, "hash long, n long, payload binary")
+    weights = np.zeros(WEIGHTS, np.float32)
+    for row in lanes.groupBy("hash").applyInArrow(whole, "hash long, payload binary").toLocalIterator():
+        own = np.frombuffer(bytes(row["payload"]), np.float32)
         weights[row["hash"]:row["hash"] + len(own)] = own
     return weights
 
@@ -185,6 +197,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = seen.filter("n >= 0").select("block", "hash").join(totals.select("hash", "count"), "hash")
 
     def block(key: tuple, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        model = unflat(shared.value)
         names = vocabulary["hash"].to_numpy().view(np.uint64)
         order = np.argsort(names)
         names, counts = names[order], vocabulary["count"].to_numpy()[order].astype(np.float64)
@@ -192,13 +205,13 @@ def score(docs: DataFrame) -> DataFrame:
         for row, data, offsets in slices(texts["text"]):
             hashed, kind, begins = tokens(data, offsets)
             c = counts[np.searchsorted(names, hashed)]
-            rows = contexts(hashed, kind, begins)
+            slots = contexts(hashed, kind, begins)
             in_class = np.log10((c + SMOOTHING) / (n_class + SMOOTHING * (v_class + 1))[kind])
             base = np.log10((c + SMOOTHING) / (n_all + SMOOTHING * (v_all + 1)))
-            of_class = np.zeros(len(rows))
-            for at in range(0, len(rows), BATCH):
-                own = slice(at, at + BATCH)
-                of_class[own] = log_softmax(shared.value, rows[own])[np.arange(len(rows[own])), kind[own]]
+            of_class = np.zeros(len(kind))
+            for at in range(0, len(kind), BATCH):
+                own = kind[at:at + BATCH]
+                of_class[at:at + BATCH] = log_softmax(*model, slots[:, at:at + BATCH])[own, np.arange(len(own))]
             out.append((np.diff(begins), sum_per_text(c > 0, begins), sum_per_text(base, begins),
                         sum_per_text(of_class / np.log(10) + in_class, begins)))
         n_tokens, n_known, base, own = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0)] * 4

@@ -2,19 +2,38 @@
 
 Between a character that is no white space and a single space before another such character, none of the tokenizers here
 forms a token across the border: byte-level BPE starts a new word at that space, the word BPE drops white space, and a
-special token holds none. So a text is cut there into units, each distinct unit is encoded once per worker process, and
-ids are looked up. Results equal those of the library on the whole text.
+special token holds none. So a text is cut there into units, each distinct unit is encoded once per worker process by the
+library's own steps, and ids are looked up. Results equal those of the library on the whole text.
 """
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 # Distinct units that a worker keeps; a full cache starts anew.
-CACHED_UNITS = 600_000
+CACHED_UNITS = 1_000_000
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"\s\s|^\s|\s\Z")
+# White space other than the plain space.
+_OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B))
+# Signs that form a word of their own after letters, whatever stands next; an apostrophe may not.
+_SIGNS = ".,;:!?&%$*#|()[]{}\"-_/+=<>@~^"
+# Pieces that an encoder remembers.
+_PIECES = 300_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes each byte as a printable character: itself, or the next free one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {**{b: b for b in printable}, **{b: 256 + k for k, b in enumerate(others)}}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 @lru_cache(maxsize=4)
@@ -30,60 +49,95 @@ def tokenizer(path: str):
 
 def units(text: str) -> list[str]:
     """The text cut at single spaces; joined with spaces they give the text again."""
-    if _PLAIN.search(text) is None:
-        return text.split(" ")
-    return _BORDER.split(text)
+    beside = any(c in text and (f"{c} " in text or f" {c}" in text) for c in _OTHER_SPACE)
+    if beside or "  " in text or text[:1] == " " or text[-1:] == " ":
+        return _BORDER.split(text)
+    return text.split(" ")
+
+
+class UnitEncoder:
+    """Ids of one unit with ``leading`` in front of it: normaliser, pre-tokenizer and model, step by step."""
+
+    def __init__(self, path: str, leading: str) -> None:
+        self.whole, self.leading = tokenizer(path), leading
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.normalizer, self.cutter, self.model = self.whole.normalizer, self.whole.pre_tokenizer, self.whole.model
+        self.pieces: dict[str, list[int]] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one word of the pre-tokenizer, in its byte letters."""
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) > _PIECES:
+                self.pieces.clear()
+            found = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
+        return found
+
+    def __call__(self, unit: str) -> list[int]:
+        text = self.leading + unit
+        if "<" in text and any(s in text for s in self.special):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        if self.normalizer is not None:
+            # Latin letters are composed already, and lower case is all that is left to do.
+            text = text.lower() if unit and max(unit) < "\u0250" and unit.rstrip(_SIGNS).isalpha() else (
+                self.normalizer.normalize_str(text))
+        letters = text.rstrip(_SIGNS)
+        if letters[len(self.leading):].isalpha():  # letters are one word, signs after them another
+            found = self._piece(letters.encode().decode("latin-1").translate(BYTE_LETTERS))
+            return found + self._piece(text[len(letters):]) if len(letters) < len(text) else found
+        return list(chain.from_iterable(self._piece(p) for p, _ in self.cutter.pre_tokenize_str(text)))
 
 
 class Units:
-    """A cache from unit to whatever ``encode`` makes of a list of units."""
+    """A cache from unit to what ``make`` says of it."""
 
-    def __init__(self, encode) -> None:
-        self.encode = encode
+    def __init__(self, make: Callable[[str], object]) -> None:
+        self.make = make
         self.known: dict[str, object] = {}
 
-    def fill(self, wanted: list[str]) -> None:
-        missing = list(set(wanted).difference(self.known))
-        if not missing:
-            return
-        if len(self.known) + len(missing) > CACHED_UNITS:
-            self.known.clear()
-            missing = list(set(wanted))
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            self.known.update(zip(part, self.encode(part)))
-
     def look_up(self, wanted: list[str]) -> list:
-        self.fill(wanted)
-        return list(map(self.known.__getitem__, wanted))
+        if len(self.known) > CACHED_UNITS:
+            self.known.clear()
+        found = list(map(self.known.get, wanted))
+        if None in found:
+            for k, (unit, value) in enumerate(zip(wanted, found)):
+                if value is None:
+                    if unit not in self.known:
+                        self.known[unit] = self.make(unit)
+                    found[k] = self.known[unit]
+        return found
 
 
 @lru_cache(maxsize=4)
 def id_units(path: str, leading: str) -> Units:
     """Little-endian 32-bit ids of units with ``leading`` put in front."""
-    import numpy as np
+    import sys
 
-    loaded = tokenizer(path)
+    encode = UnitEncoder(path, leading)
 
-    def encode(part: list[str]) -> list[bytes]:
-        done = loaded.encode_batch_fast([leading + u for u in part], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+    def packed(unit: str) -> bytes:
+        ids = array("I", encode(unit))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    return Units(encode)
+    return Units(packed)
 
 
 @lru_cache(maxsize=4)
 def count_units(path: str) -> Units:
-    loaded = tokenizer(path)
-    return Units(lambda part: [len(e) for e in loaded.encode_batch_fast(part, add_special_tokens=False)])
+    encode = UnitEncoder(path, "")
+    return Units(lambda unit: len(encode(unit)))
 
 
 def encode_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """The ids of each text as little-endian 32-bit words, no special tokens added; null counts as empty."""
-    cut = [units(t or "") for t in texts]
-    firsts = id_units(path, "").look_up([u[0] for u in cut])
-    rest = id_units(path, " ")
-    return [first + b"".join(rest.look_up(u[1:])) for first, u in zip(firsts, cut)]
+    firsts, rest = id_units(path, ""), id_units(path, " ")
+    out = []
+    for text in texts:
+        head, *tail = units(text or "")
+        out.append(firsts.look_up([head])[0] + b"".join(rest.look_up(tail)))
+    return out
 
 
 def count_tokens(path: str, texts: list[str | None]) -> list[int]:

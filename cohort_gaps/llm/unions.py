@@ -1,0 +1,72 @@
+"""Connected components of any number of edges by local union-find, round after round.
+
+Edges are dealt to tasks of bounded size; each task unites its own and hands on one row per node. Where a node got several
+roots, these are the edges of the next, smaller round. The last round fits in one task of the same bounded size.
+"""
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut_lineage
+
+# Edges of one task, in the mean.
+EDGES = 1 << 20
+
+
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges and the smallest node of its component."""
+    nodes, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = places[:len(a)], places[len(a):]
+    root = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        # Both roots move, so that whole trees join at once.
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while True:
+            jumped = root[root]
+            if (jumped == root).all():
+                break
+            root = jumped
+        if (before == root).all():
+            break
+    return nodes, nodes[root]
+
+
+def _unite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in rows]
+    if table:
+        nodes, roots = local_roots(*(np.concatenate(x) for x in zip(*table)))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at:at + (1 << 16)]), pa.array(roots[at:at + (1 << 16)])],
+                                             ["node", "root"])
+
+
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
+    """``(node, component)`` for every node of the edges ``(a, b)``, ``component`` being the smallest node reachable.
+
+    The edges are written first. Nothing but their number reaches the driver.
+    """
+    edges = cut_lineage(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    moves: list[DataFrame] = []
+    while True:
+        tasks = max(1, -(-edges.count() // per_task))
+        dealt = edges.repartition(tasks, F.xxhash64("a", "b")) if tasks > 1 else edges.repartition(1)
+        forest = cut_lineage(dealt.mapInArrow(_unite, "node long, root long"))
+        if tasks == 1:
+            break
+        move = cut_lineage(forest.groupBy("node").agg(F.min("root").alias("to")))
+        moves.append(move)
+        edges = cut_lineage(forest.join(move, "node").filter("root <> to")
+                            .select(F.col("root").alias("a"), F.col("to").alias("b")).distinct())
+    found = forest.withColumnRenamed("root", "component")
+    for move in reversed(moves):
+        later = found.withColumnRenamed("node", "to")
+        found = move.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    return found
