@@ -149,13 +149,15 @@ def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs ``(a, b)`` of ``(a, b, line_a, line_b)`` whose character shingle sets reach the threshold, counted exactly."""
     def shingles(line: str, known: dict[str, set[str]]) -> set[str]:
         if line not in known:
+            if len(known) > 100:
+                known.clear()
             known[line] = {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
         return known[line]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keep, known = [], {}
-            for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
+            for a, b in ((a.as_py(), b.as_py()) for a, b in zip(batch.column("line_a"), batch.column("line_b"))):
                 x, y = shingles(a, known), shingles(b, known)
                 both = len(x & y)
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)

@@ -308,9 +308,11 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
     """``(doc_id, text, ids, decoded)``: the text of the ids beside the one they were made from."""
     def batches(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            texts = [decode(path, np.frombuffer(ids, "<u4").tolist()) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             ["doc_id", "text", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [decode(path, np.frombuffer(ids, "<u4").tolist()) for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
+                                                 ["doc_id", "text", "ids", "decoded"])
 
     return encoded.select("doc_id", "text", "ids").mapInArrow(batches,
                                                               "doc_id long, text string, ids binary, decoded string")

@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)`` per row."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            fps = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())
+            fps = pa.array((fingerprint(t.as_py()) for t in batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, fp long")

@@ -70,8 +70,10 @@ def count(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None,
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            counts = count_tokens(tokenizer_path, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts = count_tokens(tokenizer_path, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     counted = wanted.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
