@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import token_jaccard, token_set
 from ..session import cut_lineage
 
-# Names with more words than this are compared through shared words, the others through their word subsets.
-SUBSET_WORDS = 8
 # Days per bucket when a date window is taken apart.
 BUCKET_DAYS = 11
 
@@ -50,53 +48,57 @@ def filled_rate(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(column).isNotNull().cast("double")).alias("rate"))
 
 
-def _subsets(tokens: str) -> Column:
-    """Every non-empty subset of a short word list, as text."""
-    return F.expr(f"""transform(sequence(1, shiftleft(1, size({tokens})) - 1),
-        m -> array_join(filter({tokens}, (w, i) -> getbit(m, i) = 1), ' '))""")
-
-
 def best_name_match(missing: DataFrame, register: DataFrame, fields: list[str], min_similarity: float = 0.0,
                     block: tuple[str, str] = ("result_postcode", "postcode"),
                     name: tuple[str, str] = ("result_name", "unit_name"), key: str = "unit_id") -> DataFrame:
     """For every missing unit the register unit of its block with the most similar name, the smallest id on ties.
 
-    Returns ``key``, ``match_id``, ``similarity`` and the register's ``fields``. No pair of a block is listed: per block
-    and set of words the register keeps the unit with the fewest words (then the smallest id), and a name looks up the
-    subsets of its own words. The best partner is found under the words it shares, because any other unit found there
-    shares as many and has no more. Only names of more than SUBSET_WORDS words meet the units they share a word with.
+    Returns ``key``, ``match_id``, ``similarity`` and the register's ``fields``. No pair of a block is listed. Step ``s``
+    looks at sets of ``s`` words of a name: the register keeps, per block and set, the unit with the fewest words (then the
+    smallest id) that has them all, and a name looks its sets up. Only sets that some unit of the other side has too grow
+    by one more word. A name's best partner is found under all the words both share, because any other unit found there
+    shares as many and has no more. There are as many steps as words shared, and rows grow with the names, not the pairs.
     """
     left = (missing.filter(F.col(block[0]).isNotNull())
             .select(F.col(block[0]).alias("block"), token_set(name[0]).alias("tokens")).distinct())
     right = (register.filter(F.col(block[1]).isNotNull())
              .select(F.col(block[1]).alias("block"), token_set(name[1]).alias("r_tokens"), F.col(key).alias("r_id"))
              .groupBy("block", "r_tokens").agg(F.min("r_id").alias("r_id")))
-    short_left, short_right = F.size("tokens") <= SUBSET_WORDS, F.size("r_tokens") <= SUBSET_WORDS
-
-    shelves = (right.filter(short_right & (F.size("r_tokens") > 0))
-               .select("block", F.explode(_subsets("r_tokens")).alias("subset"),
-                       F.struct(F.size("r_tokens").alias("words"), F.col("r_id").alias("id")).alias("unit"))
-               .groupBy("block", "subset").agg(F.min("unit").alias("unit")))
-    asked = (left.filter(short_left & (F.size("tokens") > 0))
-             .select("block", "tokens", F.explode(_subsets("tokens")).alias("subset")))
-    shared = F.size(F.split("subset", " ")).cast("double")
-    by_subset = asked.join(shelves, ["block", "subset"]).select(
-        "block", "tokens", (shared / (F.size("tokens") + F.col("unit.words") - shared)).alias("similarity"),
-        F.col("unit.id").alias("id"))
-
-    def by_word(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = (a.select("block", "tokens", F.explode("tokens").alias("word"))
-                 .join(b.select("block", "r_tokens", "r_id", F.explode("r_tokens").alias("word")), ["block", "word"]))
-        return pairs.select("block", "tokens", token_jaccard("tokens", "r_tokens").alias("similarity"),
-                            F.col("r_id").alias("id"))
-
-    long_left = by_word(left.filter(~short_left), right)
-    long_right = by_word(left.filter(short_left), right.filter(~short_right))
+    left, right = cut_lineage(left), cut_lineage(right)
+
+    unit = F.struct(F.size("r_tokens").alias("words"), F.col("r_id").alias("id")).alias("unit")
+    # A set is an array of words in order; ``known`` are the words of the name that the other side has at all.
+    asked = left.select("block", "tokens", F.explode("tokens").alias("word")).select(
+        "block", "tokens", F.array("word").alias("words"))
+    held = right.select("block", "r_tokens", "r_id", F.explode("r_tokens").alias("word")).select(
+        "block", "r_tokens", unit, F.array("word").alias("words"))
+    found, size, known_left, known_right = [], 0, None, None
+    while True:
+        size += 1
+        shelves = held.groupBy("block", "words").agg(F.min("unit").alias("unit"))
+        met = cut_lineage(asked.join(shelves, ["block", "words"]).select("block", "tokens", "words", "unit"))
+        if met.isEmpty():
+            break
+        shared = F.lit(float(size))
+        found.append(met.select("block", "tokens",
+                                (shared / (F.size("tokens") + F.col("unit.words") - shared)).alias("similarity"),
+                                F.col("unit.id").alias("id")))
+        kept = cut_lineage(held.join(met.select("block", "words").distinct(), ["block", "words"], "left_semi"))
+        if size == 1:
+            word = F.array_sort(F.collect_list(F.element_at("words", 1))).alias("known")
+            known_left = cut_lineage(met.groupBy("block", "tokens").agg(word))
+            known_right = cut_lineage(kept.groupBy("block", "r_tokens").agg(word))
+        longer = F.explode(F.expr("transform(filter(known, w -> w > element_at(words, -1)), "
+                                  "w -> array_append(words, w))")).alias("words")
+        asked = met.drop("unit").join(known_left, ["block", "tokens"]).select("block", "tokens", longer)
+        held = kept.join(known_right, ["block", "r_tokens"]).select("block", "r_tokens", "unit", longer)
+
     # Whoever shares no word with anyone still gets the first unit of the block.
     first = right.groupBy("block").agg(F.min("r_id").alias("id"))
-    nothing = left.join(first, "block").select("block", "tokens", F.lit(0.0).alias("similarity"), "id")
-    found = by_subset.unionByName(long_left).unionByName(long_right).unionByName(nothing)
-    best = found.groupBy("block", "tokens").agg(
+    all_found = left.join(first, "block").select("block", "tokens", F.lit(0.0).alias("similarity"), "id")
+    for more in found:
+        all_found = all_found.unionByName(more)
+    best = all_found.groupBy("block", "tokens").agg(
         F.max(F.struct(F.col("similarity"), (-F.col("id")).alias("minus_id"))).alias("best"))
     best = best.select("block", "tokens", F.col("best.similarity").alias("similarity"),
                        (-F.col("best.minus_id")).alias("match_id")).filter(F.col("similarity") >= min_similarity)
@@ -172,10 +174,17 @@ def interval_hubs(register: DataFrame, max_gap_days: int = 60, min_similarity: f
         _day(ends).alias("end"), _day(starts).alias("start"))
     closed = named.filter(F.col("end").isNotNull())
     opened = named.filter(F.col("start").isNotNull())
-    names = similar_names(named.select("block", "tokens", F.col("end").isNotNull().alias("on_left"),
-                                       F.col("start").isNotNull().alias("on_right")), min_similarity)
+    # Names meet only inside a run of days: that of an opening date, and those around a closing date.
+    wide = float(max_gap_days + 1)
+    near = F.array(*[F.floor(F.col("end") / F.lit(wide)).cast("int") + F.lit(i) for i in (-1, 0, 1)])
+    run = F.struct("block", "run").alias("block")
+    on_left = closed.select("block", "tokens", F.explode(near).alias("run")).select(
+        run, "tokens", F.lit(True).alias("on_left"), F.lit(False).alias("on_right"))
+    on_right = opened.select("block", "tokens", F.floor(F.col("start") / F.lit(wide)).cast("int").alias("run")).select(
+        run, "tokens", F.lit(False).alias("on_left"), F.lit(True).alias("on_right"))
+    names = similar_names(on_left.unionByName(on_right), min_similarity).withColumn("block", F.col("block.block"))
     words, r_words = F.array_join("tokens", " ").alias("words"), F.array_join("r_tokens", " ").alias("r_words")
-    names = cut_lineage(names.select("block", words, r_words))
+    names = cut_lineage(names.select("block", words, r_words).distinct())
     pair = ["block", "words", "r_words"]
     ended = closed.select("block", words, "unit", "end").join(names, ["block", "words"])
     begun = opened.select("block", F.array_join("tokens", " ").alias("r_words"), "unit", "start").join(
@@ -214,3 +223,23 @@ def interval_similarity_edges(register: DataFrame, **options) -> DataFrame:
                                          F.min("side").alias("_a"), F.max("side").alias("_b"))
                .filter("_a = 1 AND _b = 2 AND _least < centre").select(*HUB, "centre"))
     return members.join(centres, HUB).select("unit", "centre").filter("unit <> centre").distinct()
+
+
+def interval_partners(register: DataFrame, **options) -> DataFrame:
+    """Per unit with a partner how many units it may have turned into and how many may have turned into it.
+
+    A closed and an opened unit share exactly one hub, so partners are counted per hub and added up; no pair is listed.
+    """
+    ended, begun = interval_hubs(register, **options)
+    ended, begun = cut_lineage(ended), cut_lineage(begun)
+
+    def counted(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+        sizes = others.groupBy(*HUB).agg(F.count(F.lit(1)).alias("n"))
+        # A unit that closes and opens inside one hub is no partner of itself.
+        own = others.select("unit", *HUB, F.lit(1).alias("own"))
+        found = rows.join(sizes, HUB).join(own, ["unit", *HUB], "left")
+        return found.groupBy("unit").agg(F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias(name))
+
+    both = counted(ended, begun, "n_after").join(counted(begun, ended, "n_before"), "unit", "full")
+    return both.select("unit", F.coalesce("n_after", F.lit(0)).alias("n_after"),
+                       F.coalesce("n_before", F.lit(0)).alias("n_before")).filter("n_after + n_before > 0")

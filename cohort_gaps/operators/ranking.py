@@ -1,9 +1,8 @@
 """Ranks over groups of any size.
 
 A window over one period would sort all its units in one task. Here the distinct values of a group are counted first
-(ties collapse before the shuffle), cut into buckets at split points taken from the values themselves, numbered inside
-each bucket, and shifted by the size of the buckets in front. Which values become split points depends only on their
-hash, so every reading of the plan finds the same ones.
+(ties collapse before the shuffle), dealt to partitions by range, numbered inside each partition, and shifted by the size
+of the partitions in front. Spark picks the bounds of the ranges; the dealt table is written, so all its readers agree.
 """
 from __future__ import annotations
 
@@ -14,50 +13,25 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# At most 1,000 (``spark.sql.window.group.limit.threshold``), so that every map task keeps only that many per group,
-# and less than twice the first step of the search below.
-SPLITS = 992
-STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
-
-
 def _same(left: DataFrame, right: DataFrame, columns: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in columns])
 
 
-def running_counts(df: DataFrame, groups: list[str], value: str, descending: bool = True,
-                   written: bool = False) -> DataFrame:
-    """One row per (group, distinct value): ``n`` rows hold it and ``n_before`` rows sort ahead of it, NULLs last.
-
-    The counts are read three times, so they are written first, unless ``df`` is itself a written table.
-    """
+def running_counts(df: DataFrame, groups: list[str], value: str, descending: bool = True) -> DataFrame:
+    """One row per (group, distinct value): ``n`` rows hold it and ``n_before`` rows sort ahead of it, NULLs last."""
     names = [f"_g{i}" for i in range(len(groups))] or ["_g0"]
     keys = [F.col(g).alias(n) for g, n in zip(groups, names)] or [F.lit(0).alias("_g0")]
+    order = F.col("_v").desc_nulls_last() if descending else F.col("_v").asc_nulls_last()
     counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts if written else cut_lineage(counts)
-
-    by_hash = Window.partitionBy(*names).orderBy(F.xxhash64("_v"), F.col("_v"))
-    splits = (counts.filter(F.col("_v").isNotNull())
-              .withColumn("_pick", F.row_number().over(by_hash)).filter(F.col("_pick") <= SPLITS)
-              .groupBy(*names).agg(F.sort_array(F.collect_list("_v"), asc=not descending).alias("_splits"))
-              .select(*[F.col(n).alias(f"{n}s") for n in names], "_splits"))
-
-    # The bucket of a value is the number of split points ahead of it, found by bisection.
-    bucketed = counts.join(splits, _same(counts, splits, [(n, f"{n}s") for n in names]), "left").withColumn(
-        "_bucket", F.lit(0))
-    for step in STEPS:
-        split = F.get("_splits", F.col("_bucket") + (step - 1))
-        ahead = split > F.col("_v") if descending else split < F.col("_v")
-        bucketed = bucketed.withColumn("_bucket", F.col("_bucket") + F.when(ahead, step).otherwise(0))
-    bucketed = bucketed.select(*names, "_v", "n",
-                               F.when(F.col("_v").isNull(), SPLITS + 1).otherwise(F.col("_bucket")).alias("_bucket"))
+    dealt = cut_lineage(counts.repartitionByRange(*names, order).withColumn("_bucket", F.spark_partition_id()))
 
-    order = F.col("_v").desc_nulls_last() if descending else F.col("_v").asc_nulls_last()
     inside = (Window.partitionBy(*names, "_bucket").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = bucketed.withColumn("_to_here", F.sum("n").over(inside))
+    local = dealt.withColumn("_to_here", F.sum("n").over(inside))
 
+    # One row per group and partition.
     in_front = Window.partitionBy(*[f"{n}b" for n in names]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (bucketed.groupBy(*[F.col(n).alias(f"{n}b") for n in names], F.col("_bucket").alias("_b"))
+    offsets = (dealt.groupBy(*[F.col(n).alias(f"{n}b") for n in names], F.col("_bucket").alias("_b"))
                .agg(F.sum("n").alias("_size"))
                .withColumn("_offset", F.coalesce(F.sum("_size").over(in_front), F.lit(0))).drop("_size"))
     on = _same(local, offsets, [(n, f"{n}b") for n in names] + [("_bucket", "_b")])
@@ -71,7 +45,7 @@ def with_rank(df: DataFrame, groups: list[str], value: str, name: str, counted:
 
     ``counted`` is a written table to count instead, with the same groups and values.
     """
-    ranked = running_counts(df if counted is None else counted, groups, value, written=counted is not None)
+    ranked = running_counts(df if counted is None else counted, groups, value)
     ranked = ranked.select(*[F.col(g).alias(f"_r{i}") for i, g in enumerate(groups)], F.col(value).alias("_rv"),
                            (F.col("n_before") + 1).alias(name))
     on = _same(df, ranked, [(g, f"_r{i}") for i, g in enumerate(groups)] + [(value, "_rv")])

@@ -55,10 +55,11 @@ def odds_flagged(residuals: DataFrame, params: DataFrame) -> DataFrame:
                                                & (F.col("residual_z") >= F.col("z_threshold")), 1).otherwise(0)))
 
 
-def odds(gaps: DataFrame, params: DataFrame) -> DataFrame:
-    """Model, residuals and flags per unit and period, without the ranks."""
-    eligible = odds_eligible(gaps)
-    return odds_flagged(odds_residuals(eligible, odds_model(eligible)), params)
+def odds(gaps: DataFrame, params: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Model, residuals and flags per unit and period, without the ranks. The model is fitted on ``base``, which has all
+    it needs, if that is given."""
+    model = odds_model(odds_eligible(gaps if base is None else base))
+    return odds_flagged(odds_residuals(odds_eligible(gaps), model), params)
 
 
 def odds_ranked(flagged: DataFrame, written: bool = False) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,4 +49,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    for open_ in _scratches:
+        open_.written.add(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that ``cut_lineage`` wrote while this was open."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.written = spark, set()
+
+    def keep_all_of(self, results: Iterable[DataFrame]) -> None:
+        """Leave the tables that these plans read."""
+        for df in results:
+            self.written -= {p for p in self.written if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles())}
+
+    def remove(self) -> None:
+        context = self.spark.sparkContext
+        for path in self.written:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_scratches: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Remove what ``cut_lineage`` writes inside the block when it ends, but for what ``keep_all_of`` names."""
+    own = Scratch(spark)
+    _scratches.append(own)
+    try:
+        yield own
+    finally:
+        _scratches.remove(own)
+        own.remove()

@@ -13,7 +13,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str, nested: bool = Fa
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     try:
         files = reader.option("recursiveFileLookup", nested).load(folder)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     parts = F.split("path", "/")
     return files.select("path", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("parent"))

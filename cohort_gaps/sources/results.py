@@ -115,7 +115,7 @@ def read_long(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    """All results below ``folder``, sorted by period and unit; two folders of one year count once."""
+    """All results below ``folder``; two folders of one year count once."""
     path = newest_file(spark, f"{folder}/{lay.LONG_FILES[0]}", lay.LONG_FILES[1])
     long = read_long(spark, path) if path else None
     wide = None
@@ -124,4 +124,4 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
         wide = rows if wide is None else wide.unionByName(rows)
     if wide is not None:
         wide = keep_largest(wide, ["period", "unit_id"], "n_total", [F.col("_folder")]).drop("_folder")
-    return merge_results(long, wide).orderBy("period", "unit_id")
+    return merge_results(long, wide)

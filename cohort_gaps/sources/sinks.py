@@ -9,7 +9,7 @@ from ..functions import half_even
 from .results import slim_long, slim_wide
 from .text_tables import ORDER
 
-# Extract name: the view it shows, its sort keys, and whether they ascend.
+# Extract name, the view it shows, its sort keys, and whether they ascend.
 EXTRACTS = {
     "units": ("dash_units", ["period", "area_name", "unit_name"], True),
     "areas": ("dash_areas", ["period", "rank_gap_vs_benchmark"], True),
@@ -17,23 +17,6 @@ EXTRACTS = {
     "benchmark": ("benchmark_trends", ["period"], True),
 }
 
-# Fields of the narrow JSON extracts.
-JSON_FIELDS = {
-    "units": ("dash_units", ["period_label", "unit_id", "lineage_id", "unit_name", "area_name", "region", "unit_type",
-                             "latitude", "longitude", "zone_decile", "n_focus", "pct_focus", "score_focus",
-                             "score_rest", "gap_vs_benchmark", "gap_within_unit", "residual_z", "beating_odds"]),
-    "areas": ("dash_areas", ["period_label", "period", "area_code", "area_name", "region", "latitude", "longitude",
-                             "zone_score_avg", "n_units", "n_focus", "pct_focus", "score_focus", "score_rest",
-                             "gap_within_area", "gap_vs_benchmark", "scale_of_need", "rank_gap_vs_benchmark",
-                             "n_areas_in_period", "change_gap_vs_benchmark", "prev_period", "trend"]),
-    "beating_the_odds": ("beating_the_odds", ["lineage_id", "unit_id", "unit_name", "area_name", "region", "unit_type",
-                                              "latitude", "longitude", "latest_period", "zone_decile", "pct_focus",
-                                              "n_focus", "score_focus", "score_focus_expected", "residual_z",
-                                              "periods_in_model", "periods_beating_odds", "evidence"]),
-    "benchmark": ("benchmark_trends", ["period_label", "period", "score_focus", "score_rest", "score_gap"]),
-}
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Replace a Parquet table and read it back."""
     writer = df.write.mode("overwrite")
@@ -66,15 +49,15 @@ def write_extracts(views: dict[str, DataFrame], folder: str, decimals: int = 2)
         extract(views, name, decimals).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
-def json_extract(df: DataFrame, fields: list[str], decimals: int = 2) -> DataFrame:
-    """The listed fields that exist, numbers rounded."""
-    return round_doubles(df.select(*[f for f in fields if f in df.columns]), decimals)
+def json_extract(df: DataFrame, fields: list[str] | None = None, decimals: int = 2) -> DataFrame:
+    """The given fields that exist, or every column; numbers rounded."""
+    return round_doubles(df.select(*[f for f in fields or df.columns if f in df.columns]), decimals)
 
 
-def write_json_extracts(views: dict[str, DataFrame], folder: str) -> None:
-    """The narrow extracts as JSON lines; missing values are written as null."""
-    for name, (view, fields) in JSON_FIELDS.items():
-        (json_extract(views[view], fields).write.mode("overwrite").option("ignoreNullFields", False)
+def write_json_extracts(views: dict[str, DataFrame], folder: str, fields: dict[str, list[str]] | None = None) -> None:
+    """The views of the extracts as JSON lines; ``fields`` narrows an extract by name. Missing values are written as null."""
+    for name, (view, _, _) in EXTRACTS.items():
+        (json_extract(views[view], (fields or {}).get(name)).write.mode("overwrite").option("ignoreNullFields", False)
          .json(f"{folder}/{name}"))
 
 

@@ -16,21 +16,32 @@ _PRINTABLE = "".join(_HIGH_CP1252[c] for c in _DEFINED)
 _UNDEFINED_BYTES = "^(..)*(81|8D|8F|90|9D)"
 
 
+def inspect_file(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The encoding of a file and whether cells of it have quoted line breaks, from one scan line by line.
+
+    The encoding is ``utf-8``, else ``cp1252``, else ``latin-1`` where a byte has no meaning in cp1252. A line with an odd
+    number of quotes opens or closes a cell that goes on over a line break.
+    """
+    odd = ~F.is_valid_utf8("value")
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    found = spark.read.text(path).agg(
+        F.count_if(odd).alias("n"),
+        F.count_if(odd & F.hex(F.col("value").cast("binary")).rlike(_UNDEFINED_BYTES)).alias("undefined"),
+        F.count_if(quotes % 2 == 1).alias("open")).first()
+    return "utf-8" if found["n"] == 0 else "latin-1" if found["undefined"] else "cp1252", found["open"] > 0
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8``, else ``cp1252``, else ``latin-1`` where a byte has no meaning in cp1252. Reads line by line."""
-    lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    found = lines.agg(F.count(F.lit(1)).alias("n"),
-                      F.count_if(F.hex(F.col("value").cast("binary")).rlike(_UNDEFINED_BYTES)).alias("odd")).first()
-    return "utf-8" if found["n"] == 0 else "latin-1" if found["odd"] else "cp1252"
+    return inspect_file(spark, path)[0]
 
 
-def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text under their own headers, blanks kept as ``""``, plus the row's place in the file.
 
-    Where headers differ in case only the last one is kept; an exact repeat is dropped. Set ``multi_line`` for quoted
-    line breaks; such a file is read by one task.
+    Where headers differ in case only the last one is kept; an exact repeat is dropped. A file with line breaks inside
+    quotes is read by one task, every other file in parallel. A row with more cells than headers fails the job.
     """
-    encoding = detect_encoding(spark, path)
+    encoding, multi_line = inspect_file(spark, path)
     options = {"encoding": "UTF-8" if encoding == "utf-8" else "ISO-8859-1", "multiLine": multi_line, "quote": '"',
                "escape": '"'}
     header = spark.read.options(**options, header=False).csv(path).first()
@@ -43,11 +54,13 @@ def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) ->
     for i, name in enumerate(names):
         if name not in names[:i]:
             places[name.upper()] = i
-    table = spark.read.options(**options, header=True).csv(path)
-    columns = table.columns
+    schema = ", ".join(f"_c{i} string" for i in range(len(names) + 1))
+    table = spark.read.options(**options, header=True).schema(schema).csv(path)
+    surplus = F.raise_error(F.concat(F.lit(f"more cells than headers in {path}: "), F.col(f"_c{len(names)}")))
+    table = table.filter(F.when(F.col(f"_c{len(names)}").isNull(), True).otherwise(surplus.cast("boolean")))
 
     def cell(i: int) -> Column:
-        text = F.coalesce(F.col(f"`{columns[i]}`"), F.lit(""))
+        text = F.coalesce(F.col(f"_c{i}"), F.lit(""))
         return (F.translate(text, _DEFINED, _PRINTABLE) if encoding == "cp1252" else text).alias(names[i])
 
     return table.select(*[cell(i) for i in sorted(places.values())], F.monotonically_increasing_id().alias(ORDER))

@@ -91,6 +91,14 @@ COLUMNS = {
     "kpi_tiles": f"period_label:s {_SELECTED} n_consistent:i",
     "area_ranking_selected": f"period_label:s area_name:s {_SELECTED} selected:d dense_rank:i",
     "largest_areas": f"period_label:s area_name:s {_SELECTED} selected:d dense_rank:i",
+    "kpi_tiles_of_type": f"period_label:s {_SELECTED} n_consistent:i",
+    "area_ranking_by_gap": f"period_label:s area_name:s {_SELECTED} selected:d dense_rank:i",
+    "area_ranking_within": f"period_label:s area_name:s {_SELECTED} selected:d dense_rank:i",
+    "smallest_areas": f"period_label:s area_name:s {_SELECTED} selected:d dense_rank:i",
+    "dim_regions": "region:s",
+    "extract_odds": "lineage_id:i unit_id:i unit_name:s periods_beating_odds:i avg_residual_z:d evidence:s",
+    "extract_benchmark": "period_label:s period:i n_units:i score_focus:d score_rest:d prev_period:s change_score_gap:d",
+    "json_areas": "period_label:s area_code:s latitude:d zone_score_avg:d gap_vs_benchmark:d trend:s",
     "class_breaks": "period:i area_code:s scale_of_need:d break_1:d break_2:d break_3:d break_4:d class:i",
     "dim_values": "period_label:s",
     # area dimension
@@ -122,6 +130,13 @@ COLUMNS = {
     "join_with_source": "unit_id:i unit_name:s location_source:s",
     "units_missing": "unit_id:i result_name:s result_postcode:s",
     "best_name_match": "unit_id:i match_id:i similarity:d area_code:s latitude:d",
+    "long_name_match": "unit_id:i match_id:i similarity:d",
+    "similar_partners": "unit:i n_after:i n_before:i",
+    "tidy_register": "unit_id:i unit_name:s postcode:s area_code:s region:s unit_type:s open_date:t",
+    "tidy_links": "unit_id:i link_id:i link_type:s",
+    "tidy_zones": "zone_code:s district_name:s zone_score:d zone_rank:d zone_decile:i population:d",
+    "tidy_directory": "postcode:s zone_code:s",
+    "unit_sources": "lineage_method:s location_source:s n:i",
     "interval_similarity_join": "node:i component:i",
     "lookup_fill": "unit_id:i postcode:s zone_code:s",
     "coverage_rates": "n_rows:i rate:d is_low:i",

@@ -17,6 +17,7 @@ from ..plans.units import FROM_ID, build_units, coalesce_attrs
 from ..session import cut_lineage
 from ..sources import sinks
 from ..sources.layouts import REGISTER_SENTINELS
+from ..sources.register import tidy_directory, tidy_links, tidy_register, tidy_zones
 from ..sources.results import derive_counts, merge_results, slim_long, slim_wide, tidy_long, tidy_wide
 from . import standin_files as sf
 from . import standins as st
@@ -25,8 +26,8 @@ from .standins import Tables
 
 
 class Panel:
-    """The composed plans over one scale. ``reuse`` writes the unit-period results once, for the plans that read them
-    several times; the others read the source once anyway."""
+    """The composed plans over one scale. ``reuse`` writes the unit-period base once, for the plans that read it several
+    times; the others read the source once anyway."""
 
     def __init__(self, t: Tables, reuse: bool):
         self.t, self.reuse = t, reuse
@@ -37,12 +38,12 @@ class Panel:
 
     @cached_property
     def results(self) -> DataFrame:
-        table = st.results(self.t)
-        return cut_lineage(table) if self.reuse else table
+        return st.results(self.t)
 
     @cached_property
     def base(self) -> DataFrame:
-        return panel.unit_base(self.results, st.units(self.t), st.zones(self.t), self.params)
+        table = panel.unit_base(self.results, st.units(self.t), st.zones(self.t), self.params)
+        return cut_lineage(table) if self.reuse else table
 
     @cached_property
     def bench(self) -> DataFrame:
@@ -68,9 +69,13 @@ class Panel:
     def eligible(self) -> DataFrame:
         return odds.odds_eligible(self.gaps)
 
+    @cached_property
+    def model(self) -> DataFrame:
+        return odds.odds_model(odds.odds_eligible(self.base))
+
     @cached_property
     def residuals(self) -> DataFrame:
-        return odds.odds_residuals(self.eligible, odds.odds_model(self.eligible))
+        return odds.odds_residuals(self.eligible, self.model)
 
     @cached_property
     def odds(self) -> DataFrame:
@@ -114,7 +119,7 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
     "area_ranking": lambda p: p.area_ranking,
     "coverage_by_period": lambda p: panel.coverage_by_period(p.base),
     "odds_eligible": lambda p: p.eligible,
-    "ols_by_period": lambda p: odds.odds_model(p.eligible),
+    "ols_by_period": lambda p: p.model,
     "odds_residuals": lambda p: p.residuals,
     "odds_flagged": lambda p: p.odds,
     "odds_ranked": lambda p: odds.odds_ranked(p.odds),
@@ -139,6 +144,18 @@ PANEL_QUERIES: dict[str, Callable[[Panel], DataFrame]] = {
     "largest_areas": lambda p: selection.largest_areas(
         selection.area_ranking_selected(p.dash_units, "scale_of_need", period_label="1999-00"), "selected", 15),
     "class_breaks": lambda p: ranking.class_breaks(p.area_period, "scale_of_need", 5),
+    "kpi_tiles_of_type": lambda p: selection.kpi_tiles(p.dash_units, p.listed, unit_type="LA maintained",
+                                                       period_label="1998-99"),
+    "area_ranking_by_gap": lambda p: selection.area_ranking_selected(p.dash_units, "gap_vs_benchmark", region="EUROPE"),
+    "area_ranking_within": lambda p: selection.area_ranking_selected(p.dash_units, "gap_within_area",
+                                                                     unit_type="Academy (converter)"),
+    "smallest_areas": lambda p: selection.largest_areas(
+        selection.area_ranking_selected(p.dash_units, "scale_of_need", period_label="1999-00"), "selected", 5, smallest=True),
+    "dim_regions": lambda p: selection.dim_values([p.dash_units, p.dash_areas], "region"),
+    "extract_odds": lambda p: sinks.extract({"beating_the_odds": p.listed}, "beating_the_odds"),
+    "extract_benchmark": lambda p: sinks.extract({"benchmark_trends": trends.benchmark_trends(p.bench)}, "benchmark"),
+    "json_areas": lambda p: sinks.json_extract(p.dash_areas, ["period_label", "area_code", "latitude", "zone_score_avg",
+                                                              "gap_vs_benchmark", "trend", "absent"]),
     "dim_values": lambda p: selection.dim_values([p.dash_units, p.dash_areas], "period_label"),
     "area_profile": lambda p: areas.area_profile(st.units(p.t)),
     "area_deprivation": lambda p: p.areas,
@@ -190,6 +207,14 @@ def _build_units(t: Tables) -> DataFrame:
     return build_units(sf.order_results(t), register, sf.order_links(t), sf.order_directory(t))
 
 
+def _long_names(t: Tables) -> DataFrame:
+    parts = sf.worded_parts(t)
+    known = parts.filter("NOT is_missing")
+    return joins.best_name_match(parts.filter("is_missing").withColumnsRenamed({"name": "result_name",
+                                                                                "postcode": "result_postcode"}),
+                                 known.withColumnRenamed("name", "unit_name"), [], min_similarity=0.1)
+
+
 TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "wide_results": lambda t: tidy_wide(sf.wide_file(t), F.col("period")),
     "long_to_wide": lambda t: tidy_long(sf.long_file(t)),
@@ -214,6 +239,13 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         ["area_code", "latitude"], name=("result_name", "p_name")),
     "interval_similarity_join": lambda t: connected_components(
         joins.interval_similarity_edges(cut_lineage(sf.order_register(t))), "unit", "centre"),
+    "long_name_match": lambda t: _long_names(t),
+    "similar_partners": lambda t: joins.interval_partners(cut_lineage(sf.worded_orders(t))),
+    "tidy_register": lambda t: tidy_register(sf.register_file(t)),
+    "tidy_links": lambda t: tidy_links(sf.links_file(t)),
+    "tidy_zones": lambda t: tidy_zones(sf.zones_file(t)),
+    "tidy_directory": lambda t: tidy_directory(sf.directory_file(t)),
+    "unit_sources": lambda t: marts.count_by(_build_units(t), ["lineage_method", "location_source"]),
     "lookup_fill": lambda t: joins.lookup_fill(*sf.part_zones(t), "postcode", "zone_code"),
     "coverage_rates": _coverage,
     "units": _build_units,

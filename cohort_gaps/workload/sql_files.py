@@ -128,6 +128,31 @@ RELATIONS = {
                     FROM (SELECT *, {_tokens('p_name')} AS tokens FROM part WHERE p_size <= 5) AS m
                     JOIN (SELECT *, {_tokens('p_name')} AS tokens FROM part WHERE p_size > 5) AS r USING (p_brand))
                     AS c) AS ranked WHERE place = 1"""),
+    "worded_parts": ("", f"""
+        SELECT p_partkey AS unit_id, p_brand, p_type = 'PROMO' AS is_missing, {_tokens("name")} AS tokens
+        FROM (SELECT *, CASE WHEN p_size < 3 THEN split_part(p_name, ' ', 1) ELSE p_name || ' ' || p_type || ' ' || p_brand
+                  || CASE WHEN p_size > 9 THEN ' size ' || CAST(p_size AS VARCHAR) ELSE '' END
+                  || CASE WHEN p_size > 20 THEN ' price ' || CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR)
+                       || ' group ' || CAST(CAST(floor(floor(p_retailprice) / 100) AS BIGINT) AS VARCHAR) ELSE '' END
+                  || CASE WHEN p_size > 35 THEN ' lot ' || CAST(p_partkey % 17 AS VARCHAR) || ' shelf '
+                       || CAST(CAST(floor(p_retailprice) AS BIGINT) % 5 AS VARCHAR) ELSE '' END END AS name
+              FROM part) AS n"""),
+    "long_names": ("worded_parts", f"""
+        SELECT unit_id, arg_max(match_id, (similarity, -match_id)) AS match_id, max(similarity) AS similarity
+        FROM (SELECT m.unit_id, r.unit_id AS match_id, {_jaccard('m.tokens', 'r.tokens')} AS similarity
+              FROM worded_parts m JOIN worded_parts r USING (p_brand) WHERE m.is_missing AND NOT r.is_missing) AS c
+        GROUP BY unit_id HAVING max(similarity) >= 0.1"""),
+    "worded_orders": ("order_dim", f"""
+        SELECT unit_id, postcode, open_date, close_date, {_tokens("name")} AS tokens
+        FROM (SELECT *, unit_name || ' grade ' || o_orderstatus
+                  || CASE WHEN o_totalprice > 150000 THEN ' month ' || strftime(open_date, '%m') ELSE '' END
+                  || CASE WHEN o_totalprice > 300000 THEN ' size ' || CAST(CAST(floor(o_totalprice / 50000) AS BIGINT)
+                                                                        AS VARCHAR) ELSE '' END AS name
+              FROM order_dim) AS o"""),
+    "worded_pairs": ("worded_orders", f"""
+        SELECT a.unit_id AS old_unit, b.unit_id AS new_unit FROM worded_orders a JOIN worded_orders b USING (postcode)
+        WHERE a.unit_id <> b.unit_id AND abs(date_diff('day', a.close_date, b.open_date)) <= 60
+          AND {_jaccard('a.tokens', 'b.tokens')} >= 0.5"""),
     "near_orders": ("order_dim order_kept", f"""
         SELECT unit_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY similarity DESC, match_id)
                                                      AS place
@@ -232,6 +257,26 @@ QUERIES = {
         WHERE p_size <= 5) AS q"""),
     "best_name_match": ("near_parts", "near_parts"),
     "interval_similarity_join": ("near_groups", "near_groups"),
+    "long_name_match": ("long_names", "long_names"),
+    "similar_partners": ("worded_pairs", """(SELECT unit, sum(n_after) AS n_after, sum(n_before) AS n_before
+        FROM (SELECT old_unit AS unit, 1 AS n_after, 0 AS n_before FROM worded_pairs
+              UNION ALL SELECT new_unit, 0, 1 FROM worded_pairs) AS p GROUP BY unit) AS q"""),
+    "tidy_register": ("", """(SELECT c_custkey AS unit_id, c_name AS unit_name,
+        'AB' || CAST(c_nationkey AS VARCHAR) || ' ' || CAST(c_custkey % 10 AS VARCHAR) || 'CD' AS postcode,
+        CAST(c_nationkey AS VARCHAR) AS area_code, nullif(c_mktsegment, 'BUILDING') AS region,
+        CASE c_mktsegment WHEN 'FURNITURE' THEN 'Independent' WHEN 'MACHINERY' THEN 'Academy (sponsor led)'
+            ELSE 'LA maintained' END AS unit_type,
+        CASE WHEN c_acctbal > 0 THEN make_date(2000 + c_nationkey, 3, CAST(c_custkey % 28 + 1 AS INTEGER)) END AS open_date
+        FROM customer) AS q"""),
+    "tidy_links": ("", """(SELECT o_orderkey AS unit_id, o_custkey AS link_id, o_orderpriority AS link_type FROM orders
+        WHERE o_totalprice > 50000) AS q"""),
+    "tidy_zones": ("", """(SELECT 'E' || CAST(c_custkey AS VARCHAR) AS zone_code, c_mktsegment AS district_name,
+        CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE NULL END AS zone_score, c_custkey + 1 AS zone_rank,
+        c_custkey % 10 + 1 AS zone_decile, c_nationkey * 1000 AS population FROM customer) AS q"""),
+    "tidy_directory": ("", """(SELECT 'ZZ' || CAST(c_custkey AS VARCHAR) || ' 9AA' AS postcode,
+        'E' || CAST(c_nationkey AS VARCHAR) AS zone_code FROM customer WHERE c_acctbal > 0) AS q"""),
+    "unit_sources": ("unit_table", """(SELECT lineage_method, location_source, count(*) AS n FROM unit_table GROUP BY ALL)
+        AS q"""),
     "lookup_fill": ("", """(SELECT p_partkey AS unit_id, p_brand AS postcode, CASE WHEN p_size > 10 THEN p_type ELSE
         min(p_type) OVER (PARTITION BY p_brand) END AS zone_code FROM part) AS q"""),
     "coverage_rates": ("", """(SELECT count(*) AS n_rows, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS rate,

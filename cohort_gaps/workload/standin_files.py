@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.panel import GROUPS, MEASURE_COLUMNS, MEASURES
 from ..sources import layouts as lay
+from ..sources.text_tables import ORDER
 from . import standins as st
 from .standins import Tables
 
@@ -156,6 +157,76 @@ def part_register(t: Tables) -> DataFrame:
         F.col("p_type").alias("area_code"), F.col("p_retailprice").alias("latitude"))
 
 
+def worded_parts(t: Tables) -> DataFrame:
+    """Parts with names of one to fifteen words that share some of them; the larger the part, the more words."""
+    size, price = F.col("p_size"), F.floor("p_retailprice").cast("bigint")
+    name = F.when(size < 3, F.substring_index("p_name", " ", 1)).otherwise(F.concat_ws(
+        " ", "p_name", "p_type", "p_brand", F.when(size > 9, F.concat(F.lit("size "), size.cast("string"))),
+        F.when(size > 20, F.concat_ws(" ", F.lit("price"), price.cast("string"), F.lit("group"),
+                                      F.floor(price / 100).cast("string"))),
+        F.when(size > 35, F.concat_ws(" ", F.lit("lot"), (F.col("p_partkey") % 17).cast("string"), F.lit("shelf"),
+                                      (price % 5).cast("string")))))
+    return t.part.select(F.col("p_partkey").alias("unit_id"), name.alias("name"), F.col("p_brand").alias("postcode"),
+                         (F.col("p_type") == "PROMO").alias("is_missing"))
+
+
+def worded_orders(t: Tables) -> DataFrame:
+    """Orders as units whose names share some of their words with others."""
+    named = F.concat_ws(" ", "o_orderpriority", F.lit("grade"), "o_orderstatus",
+                        F.when(F.col("o_totalprice") > 150000, F.date_format("o_orderdate", "'month' MM")),
+                        F.when(F.col("o_totalprice") > 300000, F.concat(F.lit("size "), F.floor(
+                            F.col("o_totalprice") / 50000).cast("string"))))
+    return order_register(t).drop("unit_name").join(
+        t.orders.select(F.col("o_orderkey").alias("unit_id"), named.alias("unit_name")), "unit_id")
+
+
+def register_file(t: Tables) -> DataFrame:
+    """A register as published, with every customer twice: the second row of a unit does not count."""
+    segment, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    raw = t.customer.select(
+        key.alias("URN"), F.col("c_name").alias("EstablishmentName"),
+        F.concat(F.lit(" ab"), F.col("c_nationkey").cast("string"), F.lit(" "), (F.col("c_custkey") % 10).cast("string"),
+                 F.lit("cd")).alias("Postcode"),
+        F.col("c_nationkey").cast("string").alias("LA (code)"),
+        F.when(segment == "BUILDING", "Not Applicable").otherwise(segment).alias("GOR (name)"),
+        F.when(segment == "MACHINERY", "Academy sponsor led").otherwise("Community school")
+        .alias("TypeOfEstablishment (name)"),
+        F.when(segment == "FURNITURE", "Independent schools").otherwise("Academies").alias("EstablishmentTypeGroup (name)"),
+        F.when(F.col("c_acctbal") > 0, F.concat(F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"),
+                                                F.lit("-03-20"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")))
+        .otherwise("unknown").alias("OpenDate"), F.lit(0).cast("bigint").alias(ORDER))
+    again = raw.withColumns({"EstablishmentName": F.lit("later row"), ORDER: F.lit(1).cast("bigint")})
+    return raw.unionByName(again)
+
+
+def links_file(t: Tables) -> DataFrame:
+    """Links as published; those of cheap orders lack the other id."""
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("URN"),
+        F.when(F.col("o_totalprice") > 50000, F.col("o_custkey").cast("string")).otherwise("").alias("LinkURN"),
+        F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" ")).alias("LinkType"))
+
+
+def zones_file(t: Tables) -> DataFrame:
+    """Zone scores under the headers of a release; some zones come without a score."""
+    return t.customer.select(
+        F.concat(F.lit("E"), F.col("c_custkey").cast("string"), F.lit(" ")).alias("LSOA code (2011)"),
+        F.col("c_mktsegment").alias("Local Authority District name (2019)"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("decimal(18,2)").cast("string")).otherwise("-")
+        .alias("Index of Multiple Deprivation (IMD) Score"),
+        (F.col("c_custkey") + 1).cast("string").alias("Index of Multiple Deprivation (IMD) Rank (where 1 is first)"),
+        (F.col("c_custkey") % 10 + 1).cast("string").alias("Index of Multiple Deprivation (IMD) Decile"),
+        F.format_number(F.col("c_nationkey") * 1000, 0).alias("Total population: mid 2015"))
+
+
+def directory_file(t: Tables) -> DataFrame:
+    """A postcode directory with the newer and the older zone column."""
+    return t.customer.select(
+        F.concat(F.lit("zz"), F.col("c_custkey").cast("string"), F.lit("9aa")).alias("pcds"),
+        F.when(F.col("c_acctbal") > 0, F.concat(F.lit(" E"), F.col("c_nationkey").cast("string"))).otherwise("")
+        .alias("lsoa21cd"), F.lit("old").alias("lsoa11cd"))
+
+
 def part_zones(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Parts whose zone is known for some, and a directory that knows one zone per postcode."""
     units = t.part.select(F.col("p_partkey").alias("unit_id"), F.col("p_brand").alias("postcode"),

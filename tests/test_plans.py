@@ -44,6 +44,18 @@ def test_ols_equals_least_squares(spark):
     assert got.residual_sd == pytest.approx(float(np.sqrt(np.sum((y - x @ coef) ** 2) / 397)), rel=1e-9)
 
 
+def test_close_fit_keeps_its_digits(spark):
+    rng = np.random.default_rng(3)
+    x1, x2 = rng.uniform(0, 50, 40), rng.uniform(10, 30, 40)
+    y = 3 + 0.5 * x1 - 0.25 * x2 + rng.normal(scale=1e-6, size=40)
+    df = spark.createDataFrame([(1, float(a), float(b), float(c)) for a, b, c in zip(x1, x2, y)],
+                               "g int, x1 double, x2 double, y double")
+    row = ols_two(df, ["g"], "y", "x1", "x2").first()
+    design = np.stack([np.ones(40), x1, x2], 1)
+    fit = np.linalg.lstsq(design, y, rcond=None)[0]
+    assert row.residual_sd == pytest.approx(np.sqrt(((y - design @ fit) ** 2).sum() / 37), rel=1e-8)
+
+
 def test_small_and_collinear_groups(spark):
     rows = [(1, 5.0, 1.0, 2.0), (2, 5.0, 1.0, 2.0), (2, 6.0, 2.0, 7.0), (3, 5.0, 1.0, 2.0), (3, 6.0, 2.0, 7.0),
             (3, 9.0, 3.0, 1.0)]

@@ -5,9 +5,9 @@ import pytest
 from cohort_gaps import build
 from cohort_gaps.sources import results as res
 from cohort_gaps.sources import sinks
-from cohort_gaps.sources.files import newest_file, yearly_files
+from cohort_gaps.sources.files import list_files, newest_file, yearly_files
 from cohort_gaps.sources.register import read_directory, read_links, read_register, read_zones
-from cohort_gaps.sources.text_tables import detect_encoding, read_text_table, tidy_columns
+from cohort_gaps.sources.text_tables import detect_encoding, inspect_file, read_text_table, tidy_columns
 
 WIDE = "RECTYPE,LEA,ESTAB,URN,SCHNAME,PCODE,TPUP,TFSM6CLA1A,TNOTFSM6CLA1A,PTFSM6CLA1A,ATT8SCR,ATT8SCR_FSM6CLA1A," \
        "ATT8SCR_NFSM6CLA1A,P8MEA,PTL2BASICS_94"
@@ -124,6 +124,29 @@ def test_blanks_and_repeated_headers(spark, tmp_path):
     assert sorted((r["a"], r["urn"], r["q"]) for r in df.collect()) == [("", "4", 'a "b", c'), ("x", "2", "")]
 
 
+def test_quoted_line_breaks_are_read_whole(spark, tmp_path):
+    path = put(tmp_path / "reg.csv", [REGISTER, unit(1, "Hill\nPark ""\"\"the\"\" one", "AB1 2CD"), unit(2, "Vale", "AB1 2CE")])
+    rows = {r.unit_id: r for r in read_register(spark, path).collect()}
+    assert rows[1].unit_name == 'Hill\nPark "the" one' and rows[1].postcode == "AB1 2CD" and rows[1].area_code == "301"
+    assert rows[2].unit_name == "Vale"
+    plain = put(tmp_path / "plain.csv", [REGISTER, unit(1, "Hill", "AB1 2CD")])
+    assert inspect_file(spark, plain) == ("utf-8", False) and inspect_file(spark, path) == ("utf-8", True)
+
+
+def test_rows_with_surplus_cells_fail(spark, tmp_path):
+    path = put(tmp_path / "extra.csv", ["URN,LinkURN,LinkType", "1,2,Successor", "3,4,Successor,EXTRA"])
+    with pytest.raises(Exception, match="more cells than headers"):
+        read_text_table(spark, path).collect()
+    short = put(tmp_path / "short.csv", ["URN,LinkURN,LinkType", "1,2"])
+    assert [tuple(r)[:3] for r in read_text_table(spark, short).collect()] == [("1", "2", "")]
+
+
+def test_only_a_missing_folder_counts_as_none(spark, tmp_path):
+    assert list_files(spark, str(tmp_path / "absent"), "*.csv") is None
+    with pytest.raises(Exception):
+        list_files(spark, "nosuchscheme://x/y", "*.csv")
+
+
 def test_tidy_columns_fills_absent(spark, tmp_path):
     df = read_text_table(spark, put(tmp_path / "t.csv", ["b,Zone code (2021)", "1,E1"]))
     out = tidy_columns(df, {"x": ["a", "B"], "y": ["none"]}, ["x"])
@@ -287,7 +310,8 @@ def test_views_are_registered(spark, built):
 
 def test_extracts(spark, built, tmp_path):
     sinks.write_extracts(built, str(tmp_path / "csv"))
-    sinks.write_json_extracts(built, str(tmp_path / "json"))
+    narrow_fields = ["period_label", "period", "score_focus", "score_rest", "score_gap"]
+    sinks.write_json_extracts(built, str(tmp_path / "json"), {"benchmark": narrow_fields})
     units = spark.read.option("header", True).csv(str(tmp_path / "csv" / "units"))
     assert units.count() == 60 and units.columns[0] == "period_label"
     in_order = sinks.extract(built, "units").select("period", "area_name", "unit_name").collect()
