@@ -265,7 +265,7 @@ QUERIES = {
         'AB' || CAST(c_nationkey AS VARCHAR) || ' ' || CAST(c_custkey % 10 AS VARCHAR) || 'CD' AS postcode,
         CAST(c_nationkey AS VARCHAR) AS area_code, nullif(c_mktsegment, 'BUILDING') AS region,
         CASE c_mktsegment WHEN 'FURNITURE' THEN 'Independent' WHEN 'MACHINERY' THEN 'Academy (sponsor led)'
-            ELSE 'LA maintained' END AS unit_type,
+            ELSE 'Other' END AS unit_type,
         CASE WHEN c_acctbal > 0 THEN make_date(2000 + c_nationkey, 3, CAST(c_custkey % 28 + 1 AS INTEGER)) END AS open_date
         FROM customer) AS q"""),
     "tidy_links": ("", """(SELECT o_orderkey AS unit_id, o_custkey AS link_id, o_orderpriority AS link_type FROM orders
@@ -273,7 +273,9 @@ QUERIES = {
     "tidy_zones": ("", """(SELECT 'E' || CAST(c_custkey AS VARCHAR) AS zone_code, c_mktsegment AS district_name,
         CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE NULL END AS zone_score, c_custkey + 1 AS zone_rank,
         c_custkey % 10 + 1 AS zone_decile, c_nationkey * 1000 AS population FROM customer) AS q"""),
-    "tidy_directory": ("", """(SELECT 'ZZ' || CAST(c_custkey AS VARCHAR) || ' 9AA' AS postcode,
+    "tidy_directory": ("", """(SELECT chr(CAST(65 + c_custkey % 26 AS INTEGER))
+        || chr(CAST(65 + c_custkey // 26 % 26 AS INTEGER)) || CAST(c_custkey // 676 % 100 AS VARCHAR) || ' '
+        || CAST(c_custkey // 67600 AS VARCHAR) || 'AA' AS postcode,
         'E' || CAST(c_nationkey AS VARCHAR) AS zone_code FROM customer WHERE c_acctbal > 0) AS q"""),
     "unit_sources": ("unit_table", """(SELECT lineage_method, location_source, count(*) AS n FROM unit_table GROUP BY ALL)
         AS q"""),

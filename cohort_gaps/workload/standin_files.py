@@ -222,7 +222,9 @@ def zones_file(t: Tables) -> DataFrame:
 def directory_file(t: Tables) -> DataFrame:
     """A postcode directory with the newer and the older zone column."""
     return t.customer.select(
-        F.concat(F.lit("zz"), F.col("c_custkey").cast("string"), F.lit("9aa")).alias("pcds"),
+        F.concat(F.char(97 + F.col("c_custkey") % 26), F.char(97 + F.floor(F.col("c_custkey") / 26) % 26),
+                 (F.floor(F.col("c_custkey") / 676) % 100).cast("string"),
+                 F.floor(F.col("c_custkey") / 67600).cast("string"), F.lit("aa")).alias("pcds"),
         F.when(F.col("c_acctbal") > 0, F.concat(F.lit(" E"), F.col("c_nationkey").cast("string"))).otherwise("")
         .alias("lsoa21cd"), F.lit("old").alias("lsoa11cd"))
 
