@@ -1,47 +1,79 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components of any number of edges by local union-find, round after round.
+
+Edges are dealt to tasks of bounded size; each task unites its own and hands on one row per node. Where a node got several
+roots, these are the edges of the next, smaller round. The last round fits in one task of the same bounded size. This is
+the one operator that leaves the JVM: a task needs its edges together, as arrays.
+"""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+# Edges of one task, in the mean.
+EDGES = 1 << 20
+
+
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges and the smallest node of its component."""
+    nodes, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = places[:len(a)], places[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(before[a], before[b])
+        # Both roots move, so that whole trees join at once.
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while True:
+            jumped = root[root]
+            if (jumped == root).all():
+                break
+            root = jumped
+        if (before == root).all():
+            return nodes, nodes[root]
 
-def connected_components(edges: DataFrame, left: str, right: str, smallest: bool = False) -> DataFrame:
-    """``(node, component)`` for every node of an edge, ``component`` being the largest node of its component, or with
-    ``smallest`` the smallest.
 
-    Each round every node moves to the neighbour (or itself) that is first in a random order drawn for the round; edges
-    follow their ends, and loops and doubles go. The edge table shrinks by a factor each round, so the rounds grow with
-    the logarithm of the longest chain. Messages are one partial aggregate per node, and the joins are many-to-one, so
-    a node with very many edges is combined before the shuffle and split by the skew join after it. The driver sees
-    only the number of edges left.
+def _unite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in rows]
+    if parts:
+        nodes, roots = local_roots(*(np.concatenate(x) for x in zip(*parts)))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at:at + (1 << 16)]), pa.array(roots[at:at + (1 << 16)])],
+                                             ["node", "root"])
+
+
+def connected_components(edges: DataFrame, left: str, right: str, smallest: bool = False,
+                         per_task: int = EDGES) -> DataFrame:
+    """``(node, component)`` for every node of an edge between two nodes, ``component`` being the largest node of its
+    component, or with ``smallest`` the smallest. Edges with a missing end count for nothing.
+
+    The edges are written first. A node with very many edges is spread over tasks, each of which hands on one row for it.
+    Nothing but the number of edges reaches the driver.
     """
-    pairs = edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
-    pairs = cut_lineage(pairs.filter("a <> b").distinct())
-    moves = []
-    while not pairs.isEmpty():
-        turn = len(moves)
-
-        def place(node: str):
-            return F.struct(F.xxhash64(F.col(node), F.lit(turn)).alias("order"), F.col(node).alias("node"))
-
-        both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-            pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        best = both.groupBy("node").agg(F.max(place("other")).alias("best"))
-        move = cut_lineage(best.select("node", F.greatest(F.col("best"), place("node")).getField("node").alias("to")))
+    # Inside, roots are smallest nodes; for the largest the order is turned round.
+    def turned(node: str):
+        return F.col(node).cast("long") if smallest else F.bitwise_not(F.col(node).cast("long"))
+
+    edges = cut_lineage(edges.select(turned(left).alias("a"), turned(right).alias("b")).filter("a <> b"))
+    moves: list[DataFrame] = []
+    while True:
+        tasks = max(1, -(-edges.count() // per_task))
+        dealt = edges.repartition(tasks, F.xxhash64("a", "b")) if tasks > 1 else edges.repartition(1)
+        forest = cut_lineage(dealt.mapInArrow(_unite, "node long, root long"))
+        if tasks == 1:
+            break
+        move = cut_lineage(forest.groupBy("node").agg(F.min("root").alias("to")))
         moves.append(move)
-        pairs = (pairs.join(move.select(F.col("node").alias("a"), F.col("to").alias("a_to")), "a")
-                 .join(move.select(F.col("node").alias("b"), F.col("to").alias("b_to")), "b")
-                 .select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")))
-        pairs = cut_lineage(pairs.filter("a <> b").distinct())
-
-    if not moves:
-        return pairs.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    root = moves[-1].select("node", F.col("to").alias("root"))
-    for move in reversed(moves[:-1]):
-        later = root.select(F.col("node").alias("to"), F.col("root"))
-        root = move.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    root = cut_lineage(root)
-    named = root.groupBy("root").agg((F.min if smallest else F.max)("node").alias("component"))
-    return root.join(named, "root").select("node", "component")
+        edges = cut_lineage(forest.join(move, "node").filter("root <> to")
+                            .select(F.col("root").alias("a"), F.col("to").alias("b")).distinct())
+    found = forest.withColumnRenamed("root", "component")
+    for move in reversed(moves):
+        later = found.withColumnRenamed("node", "to")
+        found = move.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    return found.select(turned("node").alias("node"), turned("component").alias("component"))

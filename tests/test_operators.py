@@ -140,10 +140,15 @@ def test_first_non_null_and_mode(spark):
     ("ring and loop", [(1, 2), (2, 3), (3, 1), (7, 7), (9, 8), (8, 9)]),
     ("random", [(random.Random(i).randint(0, 80), random.Random(i + 999).randint(0, 80)) for i in range(60)]),
 ])
-def test_components(spark, name, edges):
-    out = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
-    expected = {k: v for k, v in groups_of([e for e in edges if e[0] != e[1]]).items()}
+@pytest.mark.parametrize("per_task", [7, 1 << 20])
+def test_components(spark, name, edges, per_task):
+    table = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
+    out = connected_components(table, "a", "b", per_task=per_task).collect()
+    expected = groups_of([e for e in edges if e[0] != e[1]])
     assert {r.node: r.component for r in out} == expected and len(out) == len(expected)
+    least = {top: min(n for n, t in expected.items() if t == top) for top in set(expected.values())}
+    small = connected_components(table, "a", "b", smallest=True, per_task=per_task).collect()
+    assert {r.node: r.component for r in small} == {n: least[t] for n, t in expected.items()}
 
 
 def test_components_of_nothing(spark):
