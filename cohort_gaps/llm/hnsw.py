@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import cut_lineage
 from .text import _mix
-from .unions import components
 
 COSINE = 0.98
 # Most vectors of a shard, in the mean; a task holds one shard and one block of queries of this size.
@@ -258,7 +258,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
 
     linked = cut_lineage(parts.groupBy("label", "dim", "shard", "block").applyInArrow(group, "a long, b long, n long"))
     counts = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    united = components(linked.filter("a <> b")).withColumnRenamed("node", "rep")
+    united = connected_components(linked, "a", "b", smallest=True).withColumnRenamed("node", "rep")
     known = nodes.join(counts, "rep", "left").join(united, "rep", "left").select(
         "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"))

@@ -13,9 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import cut_lineage
 from .text import _mix, slices, words
-from .unions import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -191,7 +191,7 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
     texts = cut_lineage(lines.join(members.select("id").distinct(), "id", "left_semi")
                         .groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")).select("id", "line"))
     star = _verified(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), texts)
-    roots = components(star)
+    roots = connected_components(star, "a", "b", smallest=True)
 
     def rooted(df: DataFrame, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(name), F.col("component").alias(f"{name}_root")), name,
@@ -208,7 +208,7 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
     more = left_over.join(meets, "band").filter("a_root <> b_root").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = star.unionByName(_verified(more, texts))
-    return components(edges).select(F.col("node").alias("id"),
+    return connected_components(edges, "a", "b", smallest=True).select(F.col("node").alias("id"),
                                                                        F.col("component").alias("root"))
 
 

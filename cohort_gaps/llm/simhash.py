@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import cut_lineage
-from .unions import components
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     """
     known = cut_lineage(fingerprints(docs))
     nodes = cut_lineage(known.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    parts = connected_components(links(nodes.select("fp"), distance), "a", "b", smallest=True).withColumnRenamed("node", "fp")
     rooted = cut_lineage(nodes.join(parts, "fp", "left").select("fp", "first_id",
                                                                 F.coalesce("component", "fp").alias("root")))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

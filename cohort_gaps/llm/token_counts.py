@@ -66,7 +66,7 @@ def count(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None,
     holder = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("holder")
     misses = (known.groupBy("digest").agg(F.min(holder).alias("holder"))
               .join(read_cache(spark, cache_path, version), "digest", "left_anti"))
-    wanted = keyed.select(holder, "digest", "text").join(misses.hint("shuffle_hash"), ["holder", "digest"])
+    wanted = keyed.select(holder, "digest", "text").join(misses, ["holder", "digest"])
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
