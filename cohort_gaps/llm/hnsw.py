@@ -18,7 +18,7 @@ from .text import _mix
 COSINE = 0.98
 # Most vectors of a shard, in the mean; a task holds one shard and one block of queries of this size.
 SHARD = 8192
-NEIGHBOURS, BUILD_BEAM, FIRST_BEAM = 16, 48, 32
+NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, ENTRIES = 16, 48, 32, 4
 # Queries of a shard audited against brute force, and the share of their links that must be found.
 AUDITED, RECALL = 64, 0.99
 QUERIES = 512
@@ -47,7 +47,7 @@ class Graph:
         while done < len(members):
             batch = members[done:done + min(done * 2, QUERIES)]
             queries = self.vectors[batch]
-            near, sims = self._search(queries, self._descend(queries, level), level, BUILD_BEAM)
+            near, sims = self._search(queries, self._descend(queries, level, ENTRIES), level, BUILD_BEAM)
             among = queries @ queries.T
             np.fill_diagonal(among, -np.inf)
             most = min(NEIGHBOURS, len(batch) - 1)
@@ -103,11 +103,14 @@ class Graph:
             out = np.concatenate((out, np.full((rows, most - out.shape[1]), -1, np.int32)), 1)
         return out
 
-    def _descend(self, queries: np.ndarray, level: int) -> np.ndarray:
-        """The best entry of each query for a layer: the nearest vector found on the layer above."""
-        at = np.full(len(queries), self.entry, np.int32)
+    def _descend(self, queries: np.ndarray, level: int, width: int) -> np.ndarray:
+        """Up to ``width`` entries of each query for a layer: the nearest vectors found on the layer above.
+
+        Several entries reach groups of vectors so tight that their links do not lead out of them.
+        """
+        at = np.full((len(queries), 1), self.entry, np.int32)
         for above in range(len(self.layers) - 1, level, -1):
-            at = self._search(queries, at, above, 1)[0][:, 0]
+            at = self._search(queries, at, above, max(width, 2))[0]
         return at
 
     def _search(self, queries: np.ndarray, entries: np.ndarray, level: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +120,12 @@ class Graph:
         sims = np.full((len(queries), beam), -np.inf, np.float32)
         open_ = np.zeros((len(queries), beam), bool)
         seen = np.zeros((len(queries), len(self.vectors)), bool)
-        ids[:, 0], open_[:, 0] = entries, True
-        sims[:, 0] = np.einsum("rd,rd->r", queries, self.vectors[entries])
-        seen[rows, entries] = True
+        entries = entries[:, :beam]
+        begun = np.arange(entries.shape[1])
+        ids[:, begun], open_[:, begun] = entries, entries >= 0
+        sims[:, begun] = np.where(entries >= 0, np.einsum("rkd,rd->rk", self.vectors[np.maximum(entries, 0)], queries), -np.inf)
+        real = np.nonzero(entries >= 0)
+        seen[real[0], entries[real]] = True
         active = rows
         while len(active):
             best = np.where(open_[active], sims[active], -np.inf).argmax(1)
@@ -130,7 +136,8 @@ class Graph:
             open_[active, best] = False
             step = links[ids[active, best]]
             fresh = (step >= 0) & ~seen[active[:, None], np.maximum(step, 0)]
-            seen[active[:, None], np.maximum(step, 0)] |= step >= 0
+            real = np.nonzero(fresh)
+            seen[active[real[0]], step[real]] = True
             found = np.einsum("rkd,rd->rk", self.vectors[np.maximum(step, 0)], queries[active])
             found[~fresh] = -np.inf
             all_sims = np.concatenate((sims[active], found), 1)
@@ -152,7 +159,8 @@ class Graph:
             size = max(16, QUERIES * FIRST_BEAM // beam)
             for at in range(0, len(left), size):
                 part = left[at:at + size]
-                ids, sims = self._search(queries[part], self._descend(queries[part], 0), 0, beam)
+                entries = self._descend(queries[part], 0, max(ENTRIES, beam // 8))
+                ids, sims = self._search(queries[part], entries, 0, beam)
                 for q, i, s in zip(part, ids, sims):
                     if s[-1] >= least and beam < len(self.vectors):
                         again.append(q)
@@ -163,15 +171,22 @@ class Graph:
 
 
 def audited_links(graph: Graph, queries: np.ndarray, least: float) -> list[np.ndarray]:
-    """Results of ``within`` with a beam wide enough that an audit of spread queries finds RECALL of their true links."""
+    """Results of ``within`` with a beam wide enough that an audit of spread queries finds RECALL of their true links.
+
+    A beam of half the shard is as good as no graph: then every vector of the shard is compared.
+    """
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
     truth = (queries[sample] @ graph.vectors.T >= least).sum()
     beam = FIRST_BEAM
-    while beam < len(graph.vectors):
+    while 2 * beam < len(graph.vectors):
         if sum(map(len, graph.within(queries[sample], least, beam))) >= RECALL * truth:
-            break
+            return graph.within(queries, least, beam)
         beam *= 2
-    return graph.within(queries, least, beam)
+    out = []
+    for at in range(0, len(queries), QUERIES):
+        near = queries[at:at + QUERIES] @ graph.vectors.T >= least
+        out += [np.flatnonzero(row).astype(np.int32) for row in near]
+    return out
 
 
 def _unit(table: pa.Table) -> np.ndarray:
