@@ -23,6 +23,8 @@ THRESHOLD = 0.8
 # with a tenth of their shingles in common do so once in 8,000 pairs.
 BANDS, ROWS = 12, 5
 EMPTY = 0xFFFFFFFF
+# Lines of a bucket up to which every pair that the first line does not join is compared.
+SMALL_BUCKET = 64
 PRIME32 = np.uint32(0x01000193)
 
 
@@ -181,7 +183,8 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
 
     In each bucket every line meets the bucket's first line. Lines that this joins need no further pair among
     themselves. Those left over in a bucket, and only those, then meet every line of the bucket that is not yet in their
-    component, so no link is lost and a bucket of true copies costs one pair per line.
+    component, so a bucket of true copies costs one pair per line. In a bucket of more than SMALL_BUCKET lines they must
+    share a second band with such a line: there a line has many near ones or none, and one link joins it to all.
     """
     rows = signed.select(F.explode("bands").alias("band"), "id")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
@@ -203,9 +206,17 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
     if left_over.isEmpty():
         return roots.select(F.col("node").alias("id"), F.col("component").alias("root"))
     # Near is not transitive, so the first line of a bucket does not stand for the others here.
-    meets = placed.join(left_over.select("band").distinct(), "band", "left_semi").select(
-        "band", F.col("id").alias("b"), F.col("id_root").alias("b_root"))
-    more = left_over.join(meets, "band").filter("a_root <> b_root").select(
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).join(
+        left_over.select("band").distinct(), "band", "left_semi")
+    meets = cut_lineage(placed.join(sizes, "band").select("band", "n", F.col("id").alias("b"),
+                                                          F.col("id_root").alias("b_root")))
+    involved = left_over.select(F.col("a").alias("id")).unionByName(meets.select(F.col("b").alias("id"))).distinct()
+    bands = cut_lineage(signed.filter(F.size("bands") > 0).select("id", "bands").join(involved, "id", "left_semi")
+                        .groupBy("id").agg(F.first("bands").alias("bands")))
+    left = left_over.join(bands.select(F.col("id").alias("a"), F.col("bands").alias("a_bands")), "a")
+    right = meets.join(bands.select(F.col("id").alias("b"), F.col("bands").alias("b_bands")), "b")
+    alike = (F.col("n") <= SMALL_BUCKET) | (F.size(F.array_intersect("a_bands", "b_bands")) > 1)
+    more = left.join(right, "band").filter((F.col("a_root") != F.col("b_root")) & alike).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = star.unionByName(_verified(more, texts))
     return connected_components(edges, "a", "b", smallest=True).select(F.col("node").alias("id"),
