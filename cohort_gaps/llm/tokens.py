@@ -15,7 +15,7 @@ from functools import lru_cache
 from itertools import chain
 
 # Distinct units that a worker keeps; a full cache starts anew.
-CACHED_UNITS = 300_000
+CACHED_UNITS = 600_000
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 # White space other than the plain space.
 _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
@@ -23,7 +23,7 @@ _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u
 # Signs that form a word of their own after letters, whatever stands next; an apostrophe may not.
 _SIGNS = ".,;:!?&%$*#|()[]{}\"-_/+=<>@~^"
 # Pieces that an encoder remembers.
-_PIECES = 50_000
+_PIECES = 150_000
 
 
 def _byte_letters() -> dict[int, int]:
