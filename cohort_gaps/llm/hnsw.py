@@ -18,7 +18,7 @@ from .text import _mix
 COSINE = 0.98
 # Most vectors of a shard, in the mean; a task holds one shard and one block of queries of this size.
 SHARD = 8192
-NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, ENTRIES = 16, 48, 32, 4
+NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, ENTRIES, WIDEN = 16, 48, 32, 4, 4
 # Queries of a shard audited against brute force, and the share of their links that must be found.
 AUDITED, RECALL = 64, 0.99
 QUERIES = 512
@@ -150,10 +150,21 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def within(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the vectors found at ``least`` or nearer; the beam of a query whose results are all near doubles."""
+        """For each query the vectors found at ``least`` or nearer.
+
+        The beam of a query whose results are all near doubles. A query with still more near vectors than WIDEN first beams
+        hold is in a group so dense that it is compared with the whole shard.
+        """
+        widest = WIDEN * beam
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(queries)
         left = np.arange(len(queries))
         while len(left):
+            if beam > widest:
+                for at in range(0, len(left), QUERIES):
+                    near = queries[left[at:at + QUERIES]] @ self.vectors.T >= least
+                    for q, row in zip(left[at:at + QUERIES], near):
+                        out[q] = np.flatnonzero(row).astype(np.int32)
+                break
             beam = min(beam, len(self.vectors))
             again = []
             size = max(16, QUERIES * FIRST_BEAM // beam)
@@ -271,7 +282,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         return link_group(table, least)
 
-    linked = cut_lineage(parts.groupBy("label", "dim", "shard", "block").applyInArrow(group, "a long, b long, n long"))
+    # Dealt by all four keys, else every group of a label would stay in the task that its size came from.
+    keys = ["label", "dim", "shard", "block"]
+    linked = cut_lineage(parts.repartition(*keys).groupBy(*keys).applyInArrow(group, "a long, b long, n long"))
     counts = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     united = connected_components(linked, "a", "b", smallest=True).withColumnRenamed("node", "rep")
     known = nodes.join(counts, "rep", "left").join(united, "rep", "left").select(
