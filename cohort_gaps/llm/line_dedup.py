@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
-from .text import _mix, slices, words
+from .text import PRIME, _mix, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -23,8 +23,12 @@ THRESHOLD = 0.8
 # with a tenth of their shingles in common do so once in 8,000 pairs.
 BANDS, ROWS = 12, 5
 EMPTY = 0xFFFFFFFF
-# Lines of a bucket up to which every pair that the first line does not join is compared.
-SMALL_BUCKET = 64
+# Two sets are near if their symmetric difference has at most this share of their summed sizes.
+MOST_APART = (1 - THRESHOLD) / (1 + THRESHOLD)
+# Bits of a parity sketch.
+SKETCH = 256
+# Pairs of one bucket compared under one key, about.
+CELL = 1 << 22
 PRIME32 = np.uint32(0x01000193)
 
 
@@ -147,6 +151,44 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(batches, "doc_id long, line_no int, id long, bands array<long>")
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """``(id, n, sketch)`` of ``(id, line)``: the number of different shingles, and SKETCH bits as four longs.
+
+    A bit is the parity of the shingles hashed to it. Shingles that two lines share cancel out, so at least as many
+    shingles belong to one of them alone as their sketches differ in bits.
+    """
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row, data, offsets in slices(batch.column(1)):
+                heads = np.flatnonzero((data & 0xC0) != 0x80)
+                code = code_points(data, heads)
+                begins = np.searchsorted(heads, offsets[:-1])
+                chars = np.searchsorted(heads, offsets[1:]) - begins
+                mixed = _mix(np.concatenate((code, np.zeros(SHINGLE, np.uint32))).astype(np.uint64) + np.uint64(1))
+                window = np.zeros(len(code) + 1, np.uint64)
+                for k in range(SHINGLE):
+                    window[:-1] = window[:-1] * PRIME + mixed[k:k + len(code)]
+                counts = np.maximum(chars - SHINGLE + 1, 1)
+                first = np.cumsum(counts) - counts
+                hashed = window[np.repeat(begins - first, counts) + np.arange(int(counts.sum()))]
+                for k in np.flatnonzero(chars < SHINGLE):  # one shingle: the line itself
+                    hashed[first[k]] = xxhash.xxh64_intdigest(data[offsets[k]:offsets[k + 1]].tobytes(), 42)
+                line, hashed = np.repeat(np.arange(len(counts)), counts), _mix(hashed)
+                order = np.lexsort((hashed, line))
+                line, hashed = line[order], hashed[order]
+                fresh = np.ones(len(line), bool)
+                fresh[1:] = (line[1:] != line[:-1]) | (hashed[1:] != hashed[:-1])
+                line, bit = line[fresh], (hashed[fresh] % np.uint64(SKETCH)).astype(np.int64)
+                odd = (np.bincount(line * SKETCH + bit, minlength=len(counts) * SKETCH) & 1).astype(np.uint8)
+                packed = np.packbits(odd, bitorder="little").view(np.int64)
+                ends = np.arange(len(counts) + 1, dtype=np.int32) * (SKETCH // 64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(counts)), pa.array(np.bincount(line, minlength=len(counts))),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(packed))], ["id", "n", "sketch"])
+
+    return texts.select("id", "line").mapInArrow(batches, "id long, n long, sketch array<long>")
+
+
 def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs ``(a, b)`` of ``(a, b, line_a, line_b)`` whose character shingle sets reach the threshold, counted exactly."""
     def shingles(line: str, known: dict[str, set[str]]) -> set[str]:
@@ -183,8 +225,8 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
 
     In each bucket every line meets the bucket's first line. Lines that this joins need no further pair among
     themselves. Those left over in a bucket, and only those, then meet every line of the bucket that is not yet in their
-    component, so a bucket of true copies costs one pair per line. In a bucket of more than SMALL_BUCKET lines they must
-    share a second band with such a line: there a line has many near ones or none, and one link joins it to all.
+    component, so a bucket of true copies costs one pair per line. They meet by their sketches, whatever the size of the
+    bucket: only pairs that these prove to be apart are left out, and the others are compared shingle by shingle.
     """
     rows = signed.select(F.explode("bands").alias("band"), "id")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
@@ -206,17 +248,29 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
     if left_over.isEmpty():
         return roots.select(F.col("node").alias("id"), F.col("component").alias("root"))
     # Near is not transitive, so the first line of a bucket does not stand for the others here.
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).join(
-        left_over.select("band").distinct(), "band", "left_semi")
-    meets = cut_lineage(placed.join(sizes, "band").select("band", "n", F.col("id").alias("b"),
-                                                          F.col("id_root").alias("b_root")))
-    involved = left_over.select(F.col("a").alias("id")).unionByName(meets.select(F.col("b").alias("id"))).distinct()
-    bands = cut_lineage(signed.filter(F.size("bands") > 0).select("id", "bands").join(involved, "id", "left_semi")
-                        .groupBy("id").agg(F.first("bands").alias("bands")))
-    left = left_over.join(bands.select(F.col("id").alias("a"), F.col("bands").alias("a_bands")), "a")
-    right = meets.join(bands.select(F.col("id").alias("b"), F.col("bands").alias("b_bands")), "b")
-    alike = (F.col("n") <= SMALL_BUCKET) | (F.size(F.array_intersect("a_bands", "b_bands")) > 1)
-    more = left.join(right, "band").filter((F.col("a_root") != F.col("b_root")) & alike).select(
+    sizes = left_over.groupBy("band").agg(F.count(F.lit(1)).alias("n_left")).join(
+        members.groupBy("band").agg(F.count(F.lit(1)).alias("n_all")), "band")
+    # A large bucket is cut both ways into cells, each a key of its own.
+    cuts = cut_lineage(sizes.select("band", F.ceil(F.sqrt(F.col("n_left") * F.col("n_all") / CELL)).cast("int").alias("cut")))
+    meets = cut_lineage(placed.join(cuts, "band").select("band", "cut", F.col("id").alias("b"),
+                                                         F.col("id_root").alias("b_root")))
+    involved = meets.select(F.col("b").alias("id")).distinct()
+    known = cut_lineage(sketches(texts.join(involved, "id", "left_semi")))
+
+    def sketched(df: DataFrame, name: str) -> DataFrame:
+        return df.join(known.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"),
+                                    F.col("sketch").alias(f"{name}_sketch")), name)
+
+    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(name), "cut").cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+
+    left = dealt(sketched(left_over.join(cuts, "band"), "a"), "a", "row", "col").drop("cut")
+    right = dealt(sketched(meets, "b"), "b", "col", "row").drop("cut")
+    apart = sum((F.bit_count(F.get("a_sketch", k).bitwiseXOR(F.get("b_sketch", k))) for k in range(SKETCH // 64)), F.lit(0))
+    more = left.join(right, ["band", "row", "col"]).filter(
+        (F.col("a_root") != F.col("b_root")) & (apart <= (F.col("a_n") + F.col("b_n")) * MOST_APART + 1e-6)
+        & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * THRESHOLD - 1e-6)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = star.unionByName(_verified(more, texts))
     return connected_components(edges, "a", "b", smallest=True).select(F.col("node").alias("id"),

@@ -330,6 +330,31 @@ def test_line_dedup(spark, odd, nothing):
     assert line_dedup.report(nothing).count() == 0
 
 
+def test_line_dedup_compares_all_of_a_large_bucket(spark):
+    rng = np.random.default_rng(11)
+    lines = ["".join(rng.choice(list("abcdefghijkl"), 60)) for _ in range(150)]
+    lines += [lines[k] + "ab" for k in range(100, 150)]
+    # One band for all, so that near lines share no second one.
+    signed = spark.createDataFrame([(i, [7]) for i in range(len(lines))], "id long, bands array<long>")
+    texts = spark.createDataFrame([(line, i) for i, line in enumerate(lines)], "line string, id long")
+    found = {r["id"]: r["root"] for r in line_dedup.line_components(signed, texts).collect()}
+    assert found == {i: k for k in range(100, 150) for i in (k, k + 50)}
+
+
+def test_line_sketches_differ_no_more_than_the_lines(spark):
+    rng = np.random.default_rng(12)
+    lines = ["".join(rng.choice(list("ab \u00e9\u4e2d\U0001f600"), rng.integers(1, 90))) for _ in range(60)]
+    lines += [line[:40] + "x" for line in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    found = {r["id"]: r for r in line_dedup.sketches(df).collect()}
+    sets = [shingles(line) for line in lines]
+    for i, x in enumerate(sets):
+        assert found[i]["n"] == len(x)
+        for j, y in enumerate(sets):
+            bits = sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(found[i]["sketch"], found[j]["sketch"]))
+            assert bits <= len(x ^ y)
+
+
 def test_minhash_and_lines():
     import pyarrow as pa
 
