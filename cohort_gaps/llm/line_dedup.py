@@ -5,7 +5,7 @@ shingles (the whole line, if shorter) have a Jaccard similarity of at least 0.8.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,13 +189,19 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("id", "line").mapInArrow(batches, "id long, n long, sketch array<long>")
 
 
-def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs ``(a, b)`` of ``(a, b, line_a, line_b)`` whose character shingle sets reach the threshold, counted exactly."""
-    def shingles(line: str, known: dict[str, set[str]]) -> set[str]:
+def character_shingles(line: str) -> set[str]:
+    """The different shingles of a line."""
+    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD,
+                  shingles_of: Callable[[str], set] = character_shingles) -> DataFrame:
+    """Pairs ``(a, b)`` of ``(a, b, line_a, line_b)`` whose shingle sets reach the threshold, counted exactly."""
+    def shingles(line: str, known: dict[str, set]) -> set:
         if line not in known:
             if len(known) > 100:
                 known.clear()
-            known[line] = {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+            known[line] = shingles_of(line)
         return known[line]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +217,19 @@ def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.mapInArrow(batches, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, shingles_of: Callable[[str], set]) -> DataFrame:
     """Near pairs among candidates ``(a, b)``; ``texts`` has the line of each id."""
     with_a = pairs.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    return cut_lineage(jaccard_pairs(with_b.select("a", "b", "line_a", "line_b")))
+    return cut_lineage(jaccard_pairs(with_b.select("a", "b", "line_a", "line_b"), shingles_of=shingles_of))
 
 
-def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
+def line_components(signed: DataFrame, lines: DataFrame, shingles_of: Callable[[str], set] = character_shingles,
+                    sketches_of: Callable[[DataFrame], DataFrame] = sketches) -> DataFrame:
     """``(id, root)`` of the lines in a component of two or more different lines.
 
-    ``signed`` is a written table of ``(id, bands)``; ``lines`` is ``(line, id)``.
+    ``signed`` is a written table of ``(id, bands)``; ``lines`` is ``(line, id)``. Other texts than lines bring their own
+    shingles, and sketches of these.
 
     In each bucket every line meets the bucket's first line. Lines that this joins need no further pair among
     themselves. Those left over in a bucket, and only those, then meet every line of the bucket that is not yet in their
@@ -235,7 +243,8 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
     members = cut_lineage(members.join(firsts.select("band", "first"), "band"))
     texts = cut_lineage(lines.join(members.select("id").distinct(), "id", "left_semi")
                         .groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")).select("id", "line"))
-    star = _verified(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), texts)
+    star = _verified(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), texts,
+                     shingles_of)
     roots = connected_components(star, "a", "b", smallest=True)
 
     def rooted(df: DataFrame, name: str) -> DataFrame:
@@ -255,7 +264,7 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
     meets = cut_lineage(placed.join(cuts, "band").select("band", "cut", F.col("id").alias("b"),
                                                          F.col("id_root").alias("b_root")))
     involved = meets.select(F.col("b").alias("id")).distinct()
-    known = cut_lineage(sketches(texts.join(involved, "id", "left_semi")))
+    known = cut_lineage(sketches_of(texts.join(involved, "id", "left_semi")))
 
     def sketched(df: DataFrame, name: str) -> DataFrame:
         return df.join(known.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"),
@@ -272,7 +281,7 @@ def line_components(signed: DataFrame, lines: DataFrame) -> DataFrame:
         (F.col("a_root") != F.col("b_root")) & (apart <= (F.col("a_n") + F.col("b_n")) * MOST_APART + 1e-6)
         & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * THRESHOLD - 1e-6)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = star.unionByName(_verified(more, texts))
+    edges = star.unionByName(_verified(more, texts, shingles_of))
     return connected_components(edges, "a", "b", smallest=True).select(F.col("node").alias("id"),
                                                                        F.col("component").alias("root"))
 

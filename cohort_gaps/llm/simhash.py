@@ -3,6 +3,9 @@
 The 64 bits are dealt to partitions, correlated bits together. If the thresholds of the partitions add up to
 ``distance - partitions + 1``, two fingerprints within ``distance`` differ by at most its threshold in some partition. Each
 fingerprint chooses its own thresholds, by dynamic programming over estimated candidate counts; -1 leaves a partition out.
+
+``keep_first``, a stage of the pipeline, goes by the shared five-word shingles themselves: texts with four fifths of them in
+common are 10 bits apart in the mean, where 64 bits tell near from far no longer. There MinHash bands give the candidates.
 """
 from __future__ import annotations
 
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
+from .line_dedup import SKETCH, line_components
+from .text import _mix
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -28,6 +33,11 @@ HOT = 256
 PROBE_COST = 2.0
 # Widest run of bits counted value by value.
 COUNTED_BITS = 16
+# Near copies of the pipeline: Jaccard similarity 0.8 of the sets of five-word shingles. A pair at the threshold shares a
+# band with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996.
+NEAR_WORDS = 5
+BANDS, ROWS = 20, 5
+FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
@@ -269,13 +279,89 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     return known.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest ``doc_id``.
+def word_shingles(text: str) -> set[bytes]:
+    """The different five-word shingles of a text; all its words, if it has fewer; none without words."""
+    words = text.encode().lower().split()
+    span = min(NEAR_WORDS, max(1, len(words)))
+    return {b" ".join(words[k:k + span]) for k in range(len(words) - span + 1)}
+
+
+def _hashes(shingles: set[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+
+
+def word_bands(text: str) -> np.ndarray:
+    """BANDS signed hashes of a text, each of the least values of ROWS random orders of its shingles; none without words."""
+    hashed = _hashes(word_shingles(text))
+    if len(hashed) == 0:
+        return np.zeros(0, np.int64)
+    low = np.min([(hashed[at:at + 1024, None] * FACTORS).min(0) for at in range(0, len(hashed), 1024)], axis=0)
+    joined = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        joined = joined * np.uint64(0x9E3779B97F4A7C15) + _mix(low[k::ROWS] + np.uint64(1))
+    return _mix(joined + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+
+
+def _words_of(text: str | None) -> tuple[str, int]:
+    """The words of a text with single spaces between, in small letters, and their 64-bit name."""
+    joined = b" ".join((text or "").encode().lower().split())
+    return joined.decode(), _signed(xxhash.xxh64_intdigest(joined, SEED))
+
+
+def word_sketches(texts: DataFrame) -> DataFrame:
+    """``(id, n, sketch)`` of ``(id, line)``, as ``line_dedup.sketches`` has them for lines."""
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sizes, sketch = [], []
+            for text in batch.column(1):
+                hashed = _hashes(word_shingles(text.as_py()))
+                odd = np.bincount((hashed % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                sizes.append(len(hashed))
+                sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()),
+                                              pa.array(sketch, pa.list_(pa.int64()))], ["id", "n", "sketch"])
+
+    return texts.select("id", "line").mapInArrow(batches, "id long, n long, sketch array<long>")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, first_id)`` per row with an id: the smallest ``doc_id`` reachable through near copies.
+
+    Candidates share a MinHash band; the similarity is counted exactly. Texts with the same words are one node, and texts
+    without words are copies of each other. Texts are named by 64-bit hashes, as lines are.
+    """
+    def signed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            named = [_words_of(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for _, n in named], pa.int64()),
+                 pa.array([word_bands(w) for w, _ in named], pa.list_(pa.int64()))], ["doc_id", "id", "bands"])
+
+    def worded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            named = [_words_of(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in named], pa.string()),
+                                              pa.array([n for _, n in named], pa.int64())], ["line", "id"])
+
+    own = docs.filter(F.col("doc_id").isNotNull())
+    known = cut_lineage(own.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                        .mapInArrow(signed, "doc_id long, id long, bands array<long>"))
+    nodes = cut_lineage(known.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
+    found = line_components(nodes.select("id", "bands"), own.select("text").mapInArrow(worded, "line string, id long"),
+                            word_shingles, word_sketches)
+    rooted = cut_lineage(nodes.select("id", "least_id").join(found, "id", "left").select(
+        "id", "least_id", F.coalesce("root", "id").alias("root")))
+    firsts = rooted.groupBy("root").agg(F.min("least_id").alias("first_id"))
+    return known.select("doc_id", "id").join(rooted.join(firsts, "root").select("id", "first_id"), "id").select(
+        "doc_id", "first_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest ``doc_id``.
 
     A repeated row of that document goes too. Rows without a ``doc_id`` are not judged and stay.
     """
-    found = near_duplicates(docs, distance).filter(F.col("doc_id") == F.col("component_id"))
-    firsts = found.select("doc_id").distinct()
+    firsts = near_copies(docs).filter("doc_id = first_id").select("doc_id").distinct()
     return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(
         docs.filter(F.col("doc_id").isNull()))
 

@@ -229,6 +229,26 @@ def test_simhash_links_lose_none(spark, hot):
     assert found == expected
 
 
+def test_keep_first_goes_by_five_word_shingles(spark):
+    rng = np.random.default_rng(13)
+    vocabulary = ["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(500)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(vocabulary, 160))
+        rows.append((i, " ".join(words)))
+        for k in np.linspace(10, 150, 1 + i % 5, dtype=int):
+            words[k] = "other"
+        rows.append((100 + i, "  ".join(words).upper()))
+    rows += [(300, "one two three"), (301, "One  two three"), (302, "one two four")]
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [lower(t).split()]}
+    ids = sorted(sets)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = sorted(set(groups(ids, near).values()))
+    assert 63 < len(expected) < 110
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == expected
+
+
 def test_simhash_thresholds_are_the_cheapest():
     from itertools import product
 
