@@ -54,6 +54,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut_lineage`` that nothing reads any more, so that long jobs hold one round of them only."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            continue
+        own = context.getCheckpointDir().rstrip("/").rsplit("/", 1)[1]
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            # Nothing but what ``cut_lineage`` wrote is ever removed.
+            if path.rsplit("/", 2)[1] == own and path.endswith(".parquet"):
+                _remove(table.sparkSession, path)
+                for open_ in _scratches:
+                    open_.written = {p for p in open_.written if p.rsplit("/", 1)[1] != path.rsplit("/", 1)[1]}
+
+
 class Scratch:
     """Tables that ``cut_lineage`` wrote while this was open."""
 
@@ -66,10 +87,8 @@ class Scratch:
             self.written -= {p for p in self.written if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles())}
 
     def remove(self) -> None:
-        context = self.spark.sparkContext
         for path in self.written:
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            _remove(self.spark, path)
 
 
 _scratches: list[Scratch] = []

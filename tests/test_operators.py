@@ -2,12 +2,13 @@ import datetime as dt
 import random
 import re
 from collections import Counter, defaultdict, deque
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohort_gaps.operators import dedupe, joins, ranking
+from cohort_gaps.operators import components, dedupe, joins, ranking
 from cohort_gaps.operators.components import connected_components
 from cohort_gaps.session import cut_lineage, ensure_checkpoint_dir, scratch
 
@@ -151,6 +152,37 @@ def test_components(spark, name, edges, per_task):
     assert {r.node: r.component for r in small} == {n: least[t] for n, t in expected.items()}
 
 
+@pytest.mark.parametrize("n,shuffled", [(100_000, False), (20_000, True)])
+def test_components_of_a_long_chain_shrink_by_a_third_per_round(spark, monkeypatch, n, shuffled):
+    """Chains dealt to a thousand tasks, where hardly any two neighbouring edges meet: ids in order and at random."""
+    counts = []
+    ids = list(range(n))
+    if shuffled:
+        random.Random(4).shuffle(ids)
+    table = spark.createDataFrame([*zip(ids, ids[1:])], "a long, b long")
+    original = components.cut_lineage
+
+    def counted(df):
+        out = original(df)
+        if out.columns == ["a", "b"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    out = connected_components(table, "a", "b", smallest=True, per_task=100)
+    assert out.agg(F.count("node"), F.min("component"), F.max("component")).first()[:] == (n, 0, 0)
+    assert len(counts) <= 20 and all(b <= a * 2 / 3 for a, b in zip(counts, counts[1:]) if a > 2000)
+
+
+def test_components_leave_no_tables_behind(spark):
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {*folder.iterdir()}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    out = connected_components(edges, "a", "b", per_task=40)
+    assert len({*folder.iterdir()} - before) == 1 and out.count() == 301
+
+
 def test_components_of_nothing(spark):
     out = connected_components(spark.createDataFrame([], "a long, b long"), "a", "b")
     assert out.columns == ["node", "component"] and out.count() == 0
