@@ -9,6 +9,11 @@ from ..session import cut_lineage
 
 # Days per bucket when a date window is taken apart.
 BUCKET_DAYS = 11
+# Names on one shelf of an index, about.
+SHELF = 512
+# Thresholds through which the search for the best name falls, and from how many entries of a name's words on.
+FALLING = (0.8, 0.6, 0.4, 0.2)
+HOT_LISTS = 4096
 
 
 def join_with_source(left: DataFrame, register: DataFrame, on: str, source: str,
@@ -48,60 +53,105 @@ def filled_rate(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(column).isNotNull().cast("double")).alias("rate"))
 
 
+def _ranked(names: DataFrame, tokens: str, words: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``names`` with ``ranked``, its words as ``(n, word)``, rarest first, and ``n_block``: how many names of the register
+    have a word in a block, and how many the block has. A word that none has comes first with zero."""
+    single = names.withColumn("word", F.explode_outer(tokens)).join(words, ["block", "word"], "left")
+    entry = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")
+    ranked = single.groupBy(*names.columns).agg(
+        F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), entry))).alias("ranked"))
+    return ranked.join(blocks, "block", "left")
+
+
+def _named(tokens: str) -> Column:
+    """Words as 64-bit names, which are compared faster; two words of one block share one with probability below 1e-9 up
+    to a hundred thousand words."""
+    return F.transform(tokens, lambda word: F.xxhash64(word))
+
+
+def _prefix(tokens: str, level: float) -> Column:
+    """The words of ``ranked`` one of which a name must share with any name at least ``level`` alike."""
+    size = F.size(tokens)
+    fewest = F.greatest(F.ceil(size * F.lit(level) - 1e-9).cast("int"), F.lit(1))
+    return F.slice("ranked", F.lit(1), size - fewest + 1)
+
+
+def _entries_met() -> Column:
+    """How many entries of the register a name meets under all its words."""
+    return F.aggregate("ranked", F.lit(0).cast("long"), lambda total, w: total + w["n"])
+
+
+def _best_of_shelves(asked: DataFrame, held: DataFrame, level: float) -> DataFrame:
+    """For names with a partner at least ``level`` alike the most similar one, smallest id on ties, as ``best``.
+
+    The register's names stand on shelves, a bounded number of names of one size that share a word. A name looks through
+    each shelf of its rarest words inside one expression, so that a row comes out per shelf, not per pair. Where the lists
+    of its words are longer than the block, which is a list too, it looks through that, so that it meets nobody twice.
+    """
+    of_block = F.array(F.struct(F.col("n_block").alias("n"), F.lit("").alias("word")))
+    prefix, own_prefix = _prefix("r_tokens", level), _prefix("tokens", level)
+    if level == 0:
+        prefix = F.concat(prefix, of_block)
+        own_prefix = F.when(_entries_met() > F.col("n_block"), of_block).otherwise(own_prefix)
+    entry = held.select("block", _named("r_tokens").alias("words"), "r_id", F.size("r_tokens").alias("size"),
+                        F.explode(prefix).alias("entry"))
+    shelf = F.pmod(F.xxhash64("r_id"), F.ceil(F.col("entry.n") / F.lit(float(SHELF))).cast("long"))
+    shelves = entry.groupBy("block", F.col("entry.word").alias("word"), "size", shelf.alias("shelf")).agg(
+        F.collect_list(F.struct("words", F.col("r_id").alias("id"))).alias("names"))
+    wanted = asked.select("block", "tokens", _named("tokens").alias("words"), F.explode(own_prefix).alias("entry")).filter("entry.n > 0").select("block", "tokens", "words", F.col("entry.word").alias("word"))
+    own = F.size("tokens")
+    near = (F.col("size") >= own * F.lit(level) - 1e-9) & (F.col("size") * F.lit(level) <= own + 1e-9)
+    # On one shelf all names have one size, so the most words in common is the most similar.
+    met = wanted.join(shelves, ["block", "word"]).filter(near).select("block", "tokens", "size", F.array_max(F.transform(
+        "names", lambda y: F.struct(F.size(F.array_intersect(F.col("words"), y["words"])).alias("shared"),
+                                    (-y["id"]).alias("minus_id")))).alias("best"))
+    shared = F.col("best.shared").cast("double")
+    met = met.filter("best.shared > 0").select("block", "tokens", F.struct((shared / (own + F.col("size") - shared)).alias("similarity"),
+                                                 F.col("best.minus_id").alias("minus_id")).alias("best"))
+    return (met.groupBy("block", "tokens").agg(F.max("best").alias("best"))
+            .filter(F.col("best.similarity") >= F.lit(level - 1e-12)))
+
+
 def best_name_match(missing: DataFrame, register: DataFrame, fields: list[str], min_similarity: float = 0.0,
                     block: tuple[str, str] = ("result_postcode", "postcode"),
                     name: tuple[str, str] = ("result_name", "unit_name"), key: str = "unit_id") -> DataFrame:
     """For every missing unit the register unit of its block with the most similar name, the smallest id on ties.
 
-    Returns ``key``, ``match_id``, ``similarity`` and the register's ``fields``. No pair of a block is listed. Step ``s``
-    looks at sets of ``s`` words of a name: the register keeps, per block and set, the unit with the fewest words (then the
-    smallest id) that has them all, and a name looks its sets up. Only sets that some unit of the other side has too grow
-    by one more word. A name's best partner is found under all the words both share, because any other unit found there
-    shares as many and has no more. There are as many steps as words shared, and rows grow with the names, not the pairs.
+    Returns ``key``, ``match_id``, ``similarity`` and the register's ``fields``. The search falls through thresholds: a
+    name that has a partner at least as alike as the threshold shares one of its rarest words with it, the fewer words the
+    higher the threshold, and all such partners are found, so the best of them is the best of all. Only names without one
+    go on to the next threshold. Names whose words are rare look up all of them at once. Rows are a name's words times
+    the shelves that hold them, never pairs of names, and a name may have any number of words.
     """
     left = (missing.filter(F.col(block[0]).isNotNull())
             .select(F.col(block[0]).alias("block"), token_set(name[0]).alias("tokens")).distinct())
-    right = (register.filter(F.col(block[1]).isNotNull())
-             .select(F.col(block[1]).alias("block"), token_set(name[1]).alias("r_tokens"), F.col(key).alias("r_id"))
-             .groupBy("block", "r_tokens").agg(F.min("r_id").alias("r_id")))
-    left, right = cut_lineage(left), cut_lineage(right)
-
-    unit = F.struct(F.size("r_tokens").alias("words"), F.col("r_id").alias("id")).alias("unit")
-    # A set is an array of words in order; ``known`` are the words of the name that the other side has at all.
-    asked = left.select("block", "tokens", F.explode("tokens").alias("word")).select(
-        "block", "tokens", F.array("word").alias("words"))
-    held = right.select("block", "r_tokens", "r_id", F.explode("r_tokens").alias("word")).select(
-        "block", "r_tokens", unit, F.array("word").alias("words"))
-    found, size, known_left, known_right = [], 0, None, None
-    while True:
-        size += 1
-        shelves = held.groupBy("block", "words").agg(F.min("unit").alias("unit"))
-        met = cut_lineage(asked.join(shelves, ["block", "words"]).select("block", "tokens", "words", "unit"))
-        if met.isEmpty():
-            break
-        shared = F.lit(float(size))
-        found.append(met.select("block", "tokens",
-                                (shared / (F.size("tokens") + F.col("unit.words") - shared)).alias("similarity"),
-                                F.col("unit.id").alias("id")))
-        kept = cut_lineage(held.join(met.select("block", "words").distinct(), ["block", "words"], "left_semi"))
-        if size == 1:
-            word = F.array_sort(F.collect_list(F.element_at("words", 1))).alias("known")
-            known_left = cut_lineage(met.groupBy("block", "tokens").agg(word))
-            known_right = cut_lineage(kept.groupBy("block", "r_tokens").agg(word))
-        longer = F.explode(F.expr("transform(filter(known, w -> w > element_at(words, -1)), "
-                                  "w -> array_append(words, w))")).alias("words")
-        asked = met.drop("unit").join(known_left, ["block", "tokens"]).select("block", "tokens", longer)
-        held = kept.join(known_right, ["block", "r_tokens"]).select("block", "r_tokens", "unit", longer)
+    right = cut_lineage(
+        register.filter(F.col(block[1]).isNotNull())
+        .select(F.col(block[1]).alias("block"), token_set(name[1]).alias("r_tokens"), F.col(key).alias("r_id"))
+        .groupBy("block", "r_tokens").agg(F.min("r_id").alias("r_id")))
+    words = right.select("block", F.explode("r_tokens").alias("word")).groupBy("block", "word").agg(
+        F.count(F.lit(1)).alias("n"))
+    blocks = right.groupBy("block").agg(F.count(F.lit(1)).alias("n_block"), F.min("r_id").alias("first_id"))
+    asked = cut_lineage(_ranked(left, "tokens", words, blocks).filter("n_block IS NOT NULL").withColumn(
+        "is_hot", F.least(_entries_met(), "n_block") > HOT_LISTS))
+    held = _ranked(right, "r_tokens", words, blocks)
+
+    found, hot = [], asked.filter("is_hot")
+    if not hot.isEmpty():
+        held = cut_lineage(held)
+        for level in FALLING:
+            found.append(cut_lineage(_best_of_shelves(hot, held, level)))
+            hot = hot.join(found[-1].select("block", "tokens"), ["block", "tokens"], "left_anti")
+    found.append(_best_of_shelves(asked.filter("NOT is_hot").unionByName(hot), held, 0.0))
 
     # Whoever shares no word with anyone still gets the first unit of the block.
-    first = right.groupBy("block").agg(F.min("r_id").alias("id"))
-    all_found = left.join(first, "block").select("block", "tokens", F.lit(0.0).alias("similarity"), "id")
+    best = asked.select("block", "tokens", F.struct(
+        F.lit(0.0).alias("similarity"), (-F.col("first_id")).alias("minus_id")).alias("best"))
     for more in found:
-        all_found = all_found.unionByName(more)
-    best = all_found.groupBy("block", "tokens").agg(
-        F.max(F.struct(F.col("similarity"), (-F.col("id")).alias("minus_id"))).alias("best"))
-    best = best.select("block", "tokens", F.col("best.similarity").alias("similarity"),
-                       (-F.col("best.minus_id")).alias("match_id")).filter(F.col("similarity") >= min_similarity)
+        best = best.unionByName(more)
+    best = best.groupBy("block", "tokens").agg(F.max("best").alias("best")).select(
+        "block", "tokens", F.col("best.similarity").alias("similarity"),
+        (-F.col("best.minus_id")).alias("match_id")).filter(F.col("similarity") >= min_similarity)
 
     keyed = missing.select(key, F.col(block[0]).alias("block"), token_set(name[0]).alias("tokens"))
     matched = keyed.join(best, ["block", "tokens"]).select(key, "match_id", "similarity")

@@ -300,6 +300,41 @@ def test_long_names_in_one_block_stay_linear(spark):
     assert rows_seen[1] < 3 * rows_seen[0] and rows_seen[1] < 400 * 400
 
 
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_best_name_of_forty_words(spark, monkeypatch, hot):
+    """Names of forty words, equal or with some of them in common: no set of shared words is ever built."""
+    monkeypatch.setattr(joins, "HOT_LISTS", hot)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(90)]
+    mine = [(i, "P", " ".join(rng.sample(vocabulary, 40))) for i in range(12)]
+    theirs = [(100 + i, "P", " ".join(rng.sample(vocabulary, 40))) for i in range(150)] + [(999, "P", mine[3][2])]
+    theirs += [(500 + i, "P", " ".join(mine[i][2].split()[:40 - 5 * i] + rng.sample(vocabulary, 5))) for i in range(8)]
+    left = spark.createDataFrame(mine, "unit_id long, result_postcode string, result_name string")
+    right = spark.createDataFrame(theirs, "unit_id long, postcode string, unit_name string")
+    found = {r.unit_id: (r.similarity, r.match_id) for r in joins.best_name_match(left, right, []).collect()}
+    best = {i: max((similarity(n, m), -j) for j, _, m in theirs) for i, _, n in mine}
+    assert found == {i: (pytest.approx(s), -j) for i, (s, j) in best.items()} and found[3][0] == 1.0
+
+
+def test_best_name_rows_in_a_hot_block(spark, monkeypatch):
+    """Everybody in one block with one common word: rows are names times words times shelves, and all still match."""
+    monkeypatch.setattr(joins, "HOT_LISTS", 500)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    left = [(i, "P", "hill " + " ".join(rng.sample(vocabulary, 3))) for i in range(1500)]
+    right = [(10_000 + i, "P", "hill " + " ".join(rng.sample(vocabulary, 3))) for i in range(1500)]
+    out = joins.best_name_match(
+        spark.createDataFrame(left, "unit_id long, result_postcode string, result_name string"),
+        spark.createDataFrame(right, "unit_id long, postcode string, unit_name string"), [])
+    found = {r.unit_id: (r.similarity, r.match_id) for r in out.collect()}
+    sets = [(i, words(n)) for i, _, n in right]
+    for i, _, n in left[::15]:
+        own = words(n)
+        assert found[i] == max((len(own & x) / len(own | x), -j) for j, x in sets)[:1] + (
+            -max((len(own & x) / len(own | x), -j) for j, x in sets)[1],)
+    assert len(found) == 1500
+
+
 def test_partners_are_counted_for_every_pair(spark):
     rng = random.Random(12)
     day = dt.date(2020, 1, 1)
