@@ -1,4 +1,4 @@
-"""The ten operators as queries over the shared tables."""
+"""The thirteen operators as queries over the shared tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -6,8 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (hnsw, line_dedup, maxent, packing, perplexity, quality_classifier, secret_scan, sentencepiece_scan, simhash,
-               token_counts)
+from . import (filter_audit, hnsw, line_dedup, maxent, packing, perplexity, quality_classifier, secret_scan,
+               sentencepiece_scan, simhash, token_counts, url_filter, whitening)
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -29,9 +29,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": lambda s, d: line_dedup.report(_table(s, d, "documents")),
         "op9_maxent": lambda s, d: maxent.report(_table(s, d, "documents")),
         "op10_quality_classifier": lambda s, d: quality_classifier.report(_table(s, d, "documents"), _table(s, d, "labels")),
+        "op11_filter_audit": lambda s, d: filter_audit.audit(_table(s, d, "documents"), _table(s, d, "labels")),
+        "op12_url_filter": lambda s, d: url_filter.report(_table(s, d, "pages"), _table(s, d, "documents"),
+                                                          _table(s, d, "labels")),
+        "op13_whitening": lambda s, d: whitening.report(_table(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the results can be had from SQL alone at the size of the tables; tests compare with brute force."""
-    return {}
+    """The audit of filters in SQL; the other results are beyond SQL at the size of the tables, and tests compare them with
+    brute force."""
+    return {"op11_filter_audit": filter_audit.ORACLE}
