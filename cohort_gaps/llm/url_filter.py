@@ -65,14 +65,15 @@ def wilson_low(hits: str, n: str, deviations: float = DEVIATIONS) -> Column:
 
 
 def _without_twins(rows: DataFrame, n_rows: int) -> DataFrame:
-    """``(row, is_bad, token)`` without tokens that all ``n_rows`` rows have, and with one of those that always come together.
+    """``(row, is_bad, token)`` without tokens that all ``n_rows`` rows have, and with the longest of those that always come together.
 
     Twins have the same rows, known by their number and the sum of the rows' hashes, so sets with either are equally
     frequent; left in, each would double the number of frequent sets.
     """
     hashed = F.xxhash64("row").cast("decimal(20,0)")
     per_token = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(hashed).alias("rows"))
-    kept = per_token.filter(F.col("n") < n_rows).groupBy("n", "rows").agg(F.min("token").alias("token"))
+    kept = per_token.filter(F.col("n") < n_rows).groupBy("n", "rows").agg(
+        F.max(F.struct(F.char_length("token").alias("size"), "token")).alias("most")).select("most.token")
     return rows.join(kept, "token", "left_semi")
 
 
