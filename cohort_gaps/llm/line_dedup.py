@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch
 from .text import PRIME, _mix, slices, words
 
 SHINGLE = 5
@@ -25,8 +25,9 @@ BANDS, ROWS = 12, 5
 EMPTY = 0xFFFFFFFF
 # Two sets are near if their symmetric difference has at most this share of their summed sizes.
 MOST_APART = (1 - THRESHOLD) / (1 + THRESHOLD)
-# Bits of a parity sketch.
+# Bits of the short parity sketch; the long one has two to four bits per shingle, up to LONGEST.
 SKETCH = 256
+LONGEST = 1 << 16
 # Pairs of one bucket compared under one key, about.
 CELL = 1 << 22
 PRIME32 = np.uint32(0x01000193)
@@ -151,12 +152,30 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(batches, "doc_id long, line_no int, id long, bands array<long>")
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """``(id, n, sketch)`` of ``(id, line)``: the number of different shingles, and SKETCH bits as four longs.
+def pack_sketches(line: np.ndarray, hashed: np.ndarray, lines: int) -> list[pa.Array]:
+    """``n``, ``short`` and ``sketch`` of each line from the hashes of its different shingles.
 
     A bit is the parity of the shingles hashed to it. Shingles that two lines share cancel out, so at least as many
-    shingles belong to one of them alone as their sketches differ in bits.
+    shingles belong to one of them alone as their sketches differ in bits. All sketches use the low bits of one hash, so a
+    longer one is brought to a shorter one's size by adding its halves.
     """
+    n = np.bincount(line, minlength=lines)
+    bits = np.minimum(SKETCH << np.ceil(np.log2(np.maximum(2 * n / SKETCH, 1))).astype(np.int64), LONGEST)
+
+    def packed(sizes: np.ndarray) -> pa.Array:
+        place = (np.cumsum(sizes) - sizes)[line] + (hashed & (sizes[line] - 1).astype(np.uint64)).astype(np.int64)
+        odd = (np.bincount(place, minlength=int(sizes.sum())) & 1).astype(np.uint8)
+        ends = np.concatenate(([0], np.cumsum(sizes // 64))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+    return [pa.array(n), packed(np.full(lines, SKETCH)), packed(bits)]
+
+
+SKETCHED = "id long, n long, short array<long>, sketch array<long>"
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """``(id, n, short, sketch)`` of ``(id, line)``: the number of different shingles and two parity sketches."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row, data, offsets in slices(batch.column(1)):
@@ -173,20 +192,44 @@ def sketches(texts: DataFrame) -> DataFrame:
                 hashed = window[np.repeat(begins - first, counts) + np.arange(int(counts.sum()))]
                 for k in np.flatnonzero(chars < SHINGLE):  # one shingle: the line itself
                     hashed[first[k]] = xxhash.xxh64_intdigest(data[offsets[k]:offsets[k + 1]].tobytes(), 42)
-                line, hashed = np.repeat(np.arange(len(counts)), counts), _mix(hashed)
-                order = np.lexsort((hashed, line))
-                line, hashed = line[order], hashed[order]
-                fresh = np.ones(len(line), bool)
-                fresh[1:] = (line[1:] != line[:-1]) | (hashed[1:] != hashed[:-1])
-                line, bit = line[fresh], (hashed[fresh] % np.uint64(SKETCH)).astype(np.int64)
-                odd = (np.bincount(line * SKETCH + bit, minlength=len(counts) * SKETCH) & 1).astype(np.uint8)
-                packed = np.packbits(odd, bitorder="little").view(np.int64)
-                ends = np.arange(len(counts) + 1, dtype=np.int32) * (SKETCH // 64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(counts)), pa.array(np.bincount(line, minlength=len(counts))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(packed))], ["id", "n", "sketch"])
+                # A slice has fewer than 2^20 lines, so line and hash are sorted as one number.
+                both = (np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(44)) | (
+                    _mix(hashed) >> np.uint64(20))
+                both.sort()
+                fresh = np.ones(len(both), bool)
+                fresh[1:] = both[1:] != both[:-1]
+                both = both[fresh]
+                arrays = pack_sketches((both >> np.uint64(44)).astype(np.int64), both & np.uint64((1 << 44) - 1), len(counts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), *arrays],
+                                                 ["id", "n", "short", "sketch"])
+
+    return texts.select("id", "line").mapInArrow(batches, SKETCHED)
+
+
+def _differing(a: str, b: str) -> Column:
+    """In how many bits two sketches differ, once the longer one is brought to the size of the other."""
+    def halved(x: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
 
-    return texts.select("id", "line").mapInArrow(batches, "id long, n long, sketch array<long>")
+    def fit(x: str, y: str) -> Column:
+        return F.when(F.size(x) > F.size(y), halved(x)).otherwise(F.col(x))
+
+    return F.aggregate(F.zip_with(fit(a, b), fit(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0),
+                       lambda total, x: total + x)
+
+
+def _sizes_fit() -> Column:
+    return F.least("a_n", "b_n") + 1 >= F.greatest("a_n", "b_n") * THRESHOLD
+
+
+def may_be_near(also: Column | None = None) -> Column:
+    """Of rows with both lines' sketches, all but those that these prove to be less alike than the threshold: first by
+    their sizes, then by the short sketches, then by the long ones, for which ``also`` must hold."""
+    short = sum((F.bit_count(F.get("a_short", k).bitwiseXOR(F.get("b_short", k))) for k in range(SKETCH // 64)), F.lit(0))
+    most = (F.col("a_n") + F.col("b_n")) * MOST_APART + 1
+    first = _sizes_fit() & (short <= most)
+    return (first if also is None else first & also) & (_differing("a_sketch", "b_sketch") <= most)
 
 
 def character_shingles(line: str) -> set[str]:
@@ -218,9 +261,12 @@ def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD,
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingles_of: Callable[[str], set]) -> DataFrame:
-    """Near pairs among candidates ``(a, b)``; ``texts`` has the line of each id."""
-    with_a = pairs.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    """Near pairs among candidates ``(a, b)``; ``texts`` has the line of each id. Only lines of candidates are sent about."""
+    pairs = cut_lineage(pairs.distinct())
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    lines = cut_lineage(texts.join(asked, "id", "left_semi"))
+    with_a = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    with_b = with_a.join(lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     return cut_lineage(jaccard_pairs(with_b.select("a", "b", "line_a", "line_b"), shingles_of=shingles_of))
 
 
@@ -233,18 +279,35 @@ def line_components(signed: DataFrame, lines: DataFrame, shingles_of: Callable[[
 
     In each bucket every line meets the bucket's first line. Lines that this joins need no further pair among
     themselves. Those left over in a bucket, and only those, then meet every line of the bucket that is not yet in their
-    component, so a bucket of true copies costs one pair per line. They meet by their sketches, whatever the size of the
+    component, so a bucket of true copies costs one pair per line. Lines meet by their sketches, whatever the size of the
     bucket: only pairs that these prove to be apart are left out, and the others are compared shingle by shingle.
     """
+    with scratch(signed.sparkSession) as own:
+        found = _line_components(signed, lines, shingles_of, sketches_of)
+        own.keep_all_of([found])
+    return found
+
+
+def _line_components(signed: DataFrame, lines: DataFrame, shingles_of: Callable[[str], set],
+                     sketches_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = signed.select(F.explode("bands").alias("band"), "id")
+    # Nearly all bands have one row, so as little as possible of each is sent about.
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     members = cut_lineage(rows.join(shared, "band").distinct())
     firsts = members.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     members = cut_lineage(members.join(firsts.select("band", "first"), "band"))
     texts = cut_lineage(lines.join(members.select("id").distinct(), "id", "left_semi")
                         .groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")).select("id", "line"))
-    star = _verified(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), texts,
-                     shingles_of)
+    known = cut_lineage(sketches_of(texts))
+
+    def with_known(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.join(known.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]), name)
+
+    pairs = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    # Most pairs go by their sizes, before the sketches are joined.
+    sized = with_known(with_known(pairs, "b", "n"), "a", "n").filter(_sizes_fit())
+    star = with_known(with_known(sized, "a", "short", "sketch"), "b", "short", "sketch").filter(may_be_near())
+    star = _verified(star.select("a", "b"), texts, shingles_of)
     roots = connected_components(star, "a", "b", smallest=True)
 
     def rooted(df: DataFrame, name: str) -> DataFrame:
@@ -259,27 +322,26 @@ def line_components(signed: DataFrame, lines: DataFrame, shingles_of: Callable[[
     # Near is not transitive, so the first line of a bucket does not stand for the others here.
     sizes = left_over.groupBy("band").agg(F.count(F.lit(1)).alias("n_left")).join(
         members.groupBy("band").agg(F.count(F.lit(1)).alias("n_all")), "band")
-    # A large bucket is cut both ways into cells, each a key of its own.
-    cuts = cut_lineage(sizes.select("band", F.ceil(F.sqrt(F.col("n_left") * F.col("n_all") / CELL)).cast("int").alias("cut")))
-    meets = cut_lineage(placed.join(cuts, "band").select("band", "cut", F.col("id").alias("b"),
-                                                         F.col("id_root").alias("b_root")))
-    involved = meets.select(F.col("b").alias("id")).distinct()
-    known = cut_lineage(sketches_of(texts.join(involved, "id", "left_semi")))
-
-    def sketched(df: DataFrame, name: str) -> DataFrame:
-        return df.join(known.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"),
-                                    F.col("sketch").alias(f"{name}_sketch")), name)
-
-    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(name), "cut").cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-
-    left = dealt(sketched(left_over.join(cuts, "band"), "a"), "a", "row", "col").drop("cut")
-    right = dealt(sketched(meets, "b"), "b", "col", "row").drop("cut")
-    apart = sum((F.bit_count(F.get("a_sketch", k).bitwiseXOR(F.get("b_sketch", k))) for k in range(SKETCH // 64)), F.lit(0))
-    more = left.join(right, ["band", "row", "col"]).filter(
-        (F.col("a_root") != F.col("b_root")) & (apart <= (F.col("a_n") + F.col("b_n")) * MOST_APART + 1e-6)
-        & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * THRESHOLD - 1e-6)).select(
+    # A bucket of two has met already. A large one is cut both ways into cells, each a key of its own.
+    cuts = cut_lineage(sizes.filter("n_all > 2").select("band", F.ceil(F.sqrt(
+        F.col("n_left") * F.col("n_all") / CELL)).cast("int").alias("cut")))
+
+    def listed(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """The lines of buckets with all their buckets and their sketches, dealt to cells."""
+        at = F.sort_array(F.collect_list(F.struct("band", "cut", "is_left"))).alias("at")
+        each = with_known(df.join(cuts, "band").groupBy(name, f"{name}_root").agg(at), name, "n", "short", "sketch")
+        each = each.withColumn(f"{name}_bands", F.col("at.band")).withColumn("at", F.explode("at")).select(
+            "at.*", *[c for c in each.columns if c != "at"], f"{name}_bands").withColumnRenamed("is_left", f"{name}_left")
+        return each.withColumn(own, F.pmod(F.xxhash64(name), "cut").cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).drop("cut")
+
+    left = listed(left_over.withColumn("is_left", F.lit(True)), "a", "row", "col")
+    right = listed(placed.select("band", F.col("id").alias("b"), F.col("id_root").alias("b_root"),
+                                 (F.col("id_root") != F.col("first_root")).alias("is_left")), "b", "col", "row")
+    # A pair of several buckets meets in the first where ``a`` is left over; where both are, the smaller one is ``a``.
+    once = (F.col("band") == F.array_min(F.array_intersect("a_bands", "b_bands"))) & (
+        ~F.col("b_left") | (F.col("a") < F.col("b")))
+    more = left.join(right, ["band", "row", "col"]).filter((F.col("a_root") != F.col("b_root")) & may_be_near(once)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = star.unionByName(_verified(more, texts, shingles_of))
     return connected_components(edges, "a", "b", smallest=True).select(F.col("node").alias("id"),
@@ -294,7 +356,13 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     ``doc_id`` take no part, repeated rows of a document are further copies at the same place and change nothing, and an
     empty table has no duplicates.
     """
-    signed = cut_lineage(signed_lines(docs))
+    with scratch(docs.sparkSession) as own:
+        gone = cut_lineage(_copies(cut_lineage(signed_lines(docs)), docs))
+        own.keep_all_of([gone])
+    return gone
+
+
+def _copies(signed: DataFrame, docs: DataFrame) -> DataFrame:
     found = line_components(signed, lines_of(docs).select("line", _name("line").alias("id")))
     copied = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
     marked = cut_lineage(copied.join(found, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
@@ -309,10 +377,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 def drop_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``docs`` without the lines ``(doc_id, line_no)``; the others keep their order. No document goes: one whose lines
     are all copies stays with an empty text."""
-    per_doc = lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(per_doc, "doc_id", "left")
-    rest = F.array_join(F.expr("filter(split(text, '\\n'), (x, i) -> NOT array_contains(_gone, i))"), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    # Names that no column of the caller has.
+    gone, key = (f"{name}_{len(''.join(docs.columns))}" for name in ("_gone", "_key"))
+    per_doc = lines.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
+    joined = docs.join(per_doc, F.col("doc_id") == F.col(key), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
@@ -322,10 +392,13 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """The result of ``op8_line_dedup``: every document with its number of lines and the lines removed."""
-    per_doc = lines_of(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "keep_doc", "keep_line"))).alias("copies"))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(per_doc, "doc_id", "left").join(
-        gone, "doc_id", "left")
-    return counted.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-                          F.coalesce(F.size("copies"), F.lit(0)).cast("long").alias("n_removed"), "copies")
+    with scratch(docs.sparkSession) as own:
+        signed = cut_lineage(signed_lines(docs))
+        per_doc = signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+        gone = _copies(signed, docs).groupBy("doc_id").agg(
+            F.sort_array(F.collect_list(F.struct("line_no", "keep_doc", "keep_line"))).alias("copies"))
+        counted = cut_lineage(per_doc.join(gone, "doc_id", "left"))
+        own.keep_all_of([counted])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counted, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("copies"), F.lit(0)).cast("long").alias("n_removed"), "copies")

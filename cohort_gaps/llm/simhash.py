@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
-from .line_dedup import SKETCH, line_components
+from .line_dedup import SKETCHED, line_components, pack_sketches
 from .text import _mix
 
 BITS = 64
@@ -309,19 +309,17 @@ def _words_of(text: str | None) -> tuple[str, int]:
 
 
 def word_sketches(texts: DataFrame) -> DataFrame:
-    """``(id, n, sketch)`` of ``(id, line)``, as ``line_dedup.sketches`` has them for lines."""
+    """Numbers and sketches of ``(id, line)``, as ``line_dedup.sketches`` has them for lines."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            sizes, sketch = [], []
-            for text in batch.column(1):
-                hashed = _hashes(word_shingles(text.as_py()))
-                odd = np.bincount((hashed % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-                sizes.append(len(hashed))
-                sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()),
-                                              pa.array(sketch, pa.list_(pa.int64()))], ["id", "n", "sketch"])
-
-    return texts.select("id", "line").mapInArrow(batches, "id long, n long, sketch array<long>")
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                hashed = [_hashes(word_shingles(text.as_py())) for text in part.column(1)]
+                line = np.repeat(np.arange(len(part)), [len(x) for x in hashed])
+                arrays = pack_sketches(line, np.concatenate(hashed), len(part))
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["id", "n", "short", "sketch"])
+
+    return texts.select("id", "line").mapInArrow(batches, SKETCHED)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
