@@ -123,13 +123,18 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, least: float =
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every secret replaced by MARK, the longest first; no row goes. Rows without an id stay as they are."""
-    per_doc = findings(docs, labelled).groupBy("doc_id").agg(F.collect_set("secret").alias("_secrets"))
-    longest_first = F.expr("array_sort(_secrets, (a, b) -> CASE WHEN length(a) > length(b) THEN -1 "
-                           "WHEN length(a) < length(b) THEN 1 WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
+    """``docs`` with every secret replaced by MARK, the longest first; no row goes. Rows without an id are known by a hash
+    of their text instead."""
+    # Names that no column of the caller has.
+    secrets, key = (f"{name}_{len(''.join(docs.columns))}" for name in ("_secrets", "_row"))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    per_row = findings(keyed.select(F.col(key).alias("doc_id"), "text"), labelled).groupBy(
+        F.col("doc_id").alias(key)).agg(F.collect_set("secret").alias(secrets))
+    longest_first = F.array_sort(secrets, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(
+        F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     clean = F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
-    joined = docs.join(per_doc, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    joined = keyed.join(per_row, key, "left")
+    return joined.withColumn("text", F.when(F.col(secrets).isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
