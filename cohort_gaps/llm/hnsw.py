@@ -254,7 +254,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
 
     Vectors are compared inside a label and a dimension. A row whose label, id or vector is null, whose vector is zero,
     empty or has a null or non-finite component links with nothing: no links, its own component. Repeated rows are further
-    vectors. An empty table gives an empty result.
+    vectors, and different vectors with one id stay apart. An empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"),
                           F.col("embedding").cast("array<double>").alias("embedding"))
@@ -262,7 +262,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
     fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable
                      & F.exists("embedding", lambda x: x != 0), F.lit(False))
     nodes = cut_lineage(rows.filter(fit).groupBy("label", "embedding").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")))
+        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).select(
+        # Vectors are known by a number of their own: different ones may share an id.
+        "*", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("rep")))
     sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("long").alias("shards"))
     dealt = nodes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shards")))
     columns = ["label", "dim", "rep", "copies", "embedding"]
@@ -287,9 +289,11 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
     linked = cut_lineage(parts.repartition(*keys).groupBy(*keys).applyInArrow(group, "a long, b long, n long"))
     counts = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     united = connected_components(linked, "a", "b", smallest=True).withColumnRenamed("node", "rep")
-    known = nodes.join(counts, "rep", "left").join(united, "rep", "left").select(
-        "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
+    rooted = cut_lineage(nodes.join(counts, "rep", "left").join(united, "rep", "left").select(
+        "label", "embedding", "first_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    known = rooted.join(names, "root").select("label", "embedding", "n_links", "component_id")
     keyed = rows.withColumn("fit", fit)
     linkable = keyed.filter("fit").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = keyed.filter("NOT fit").select("vec_id", F.lit(0).cast("long").alias("n_links"),

@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json",
                                                                  "piece_bpe_32k.model"))
 # Columns that carry names used inside the operators.
-EXTRA = ["fp", "id", "line", "block", "n", "label", "score", "candidate", "ids", "digest", "line_no", "count", "root"]
+EXTRA = ["fp", "id", "line", "block", "n", "label", "score", "candidate", "ids", "digest", "line_no", "count", "root", "_gone", "_secrets"]
 
 
 def lower(text):
@@ -287,6 +287,25 @@ def test_hnsw(spark, sf_dir):
     assert hnsw.report(df.filter("vec_id = -1")).count() == 0
 
 
+def test_hnsw_keeps_different_vectors_of_one_id_apart(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0])]
+    df = spark.createDataFrame([(i, v, 5) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(df).collect())
+    assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    far = df.filter("vec_id <> 3").unionByName(df.sparkSession.createDataFrame(
+        [(9, [0.0, 1.0], 5)], "vec_id long, embedding array<float>, label int"))
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(far).collect())
+    assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (9, 1, 1)]
+
+
+def test_secrets_of_rows_without_an_id_go_too(spark):
+    token = "".join(f"{k * 7919 % 16:x}" for k in range(3, 43))
+    rows = [(None, f"my token = {token} here", 1), (None, "nothing in this one", 2), (4, f"token = {token}", 3), (None, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _secrets int")
+    out = {r["_secrets"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert token not in out[1] and token not in out[3] and out[2] == rows[1][1] and out[4] is None
+
+
 def test_token_counts(spark, documents, odd, nothing, texts, tmp_path):
     from tokenizers import Tokenizer
 
@@ -363,16 +382,25 @@ def test_line_dedup_compares_all_of_a_large_bucket(spark):
 
 def test_line_sketches_differ_no_more_than_the_lines(spark):
     rng = np.random.default_rng(12)
-    lines = ["".join(rng.choice(list("ab \u00e9\u4e2d\U0001f600"), rng.integers(1, 90))) for _ in range(60)]
-    lines += [line[:40] + "x" for line in lines]
+    lines = ["".join(rng.choice(list("ab \u00e9\u4e2d\U0001f600"), rng.integers(1, 90))) for _ in range(30)]
+    lines += ["".join(rng.choice(list("abcdefghij"), rng.integers(100, 700))) for _ in range(25)]
+    lines += [line[:2 * len(line) // 3] + "x" for line in lines]
+    lines += [line + line[:6].upper() for line in lines[:55]]
     df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
-    found = {r["id"]: r for r in line_dedup.sketches(df).collect()}
+    known = line_dedup.sketches(df)
     sets = [shingles(line) for line in lines]
-    for i, x in enumerate(sets):
-        assert found[i]["n"] == len(x)
-        for j, y in enumerate(sets):
-            bits = sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(found[i]["sketch"], found[j]["sketch"]))
-            assert bits <= len(x ^ y)
+    assert {r["id"]: r["n"] for r in known.collect()} == {i: len(x) for i, x in enumerate(sets)}
+    assert {len(r["sketch"]) for r in known.collect()} >= {4, 8, 16}
+    a, b = (known.selectExpr(*[f"{c} AS {name}_{c}" for c in known.columns]) for name in "ab")
+    pairs = a.join(b, a["a_id"] < b["b_id"]).withColumn("bits", line_dedup._differing("a_sketch", "b_sketch")).withColumn(
+        "may", line_dedup.may_be_near())
+    kept = 0
+    for r in pairs.filter("greatest(a_n, b_n) <= 2 * least(a_n, b_n)").select("a_id", "b_id", "bits", "may").collect():
+        x, y = sets[r["a_id"]], sets[r["b_id"]]
+        assert r["bits"] <= len(x ^ y)
+        assert r["may"] or len(x & y) < 0.8 * len(x | y)
+        kept += r["may"] and len(x & y) < 0.6 * len(x | y) and len(x) > 50
+    assert kept == 0
 
 
 def test_minhash_and_lines():
