@@ -19,9 +19,10 @@ from .text import PRIME, _mix, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-# A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.99, one at 0.85 with 0.999; lines
-# with a tenth of their shingles in common do so once in 8,000 pairs.
-BANDS, ROWS = 12, 5
+# A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 6) ** 16 = 0.992, one at 0.85 with 0.9997; lines
+# with a tenth of their shingles in common do so once in 60,000 pairs, which matters because such pairs grow with the square
+# of the input.
+BANDS, ROWS = 16, 6
 EMPTY = 0xFFFFFFFF
 # Two sets are near if their symmetric difference has at most this share of their summed sizes.
 MOST_APART = (1 - THRESHOLD) / (1 + THRESHOLD)
