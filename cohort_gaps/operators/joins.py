@@ -217,7 +217,8 @@ def interval_hubs(register: DataFrame, max_gap_days: int = 60, min_similarity: f
 
     A closed and an opened unit share a hub, and exactly one, if they are in one block, their names are similar enough
     and the dates at most ``max_gap_days`` apart. The days around a closing date are taken apart into whole buckets and
-    single days, so that a hub holds nothing but true matches.
+    single days, so that a hub holds nothing but true matches. This lists the pairs of names; ``intervals`` has what can
+    be told without them.
     """
     named = register.filter(F.col(block).isNotNull()).select(
         F.col(block).alias("block"), token_set(name).alias("tokens"), F.col(key).alias("unit"),
@@ -258,38 +259,3 @@ def interval_hubs(register: DataFrame, max_gap_days: int = 60, min_similarity: f
 
 
 HUB = ["block", "words", "r_words", "span"]
-
-
-def interval_similarity_edges(register: DataFrame, **options) -> DataFrame:
-    """Closed and opened units of one block with near dates and similar names, as edges to follow.
-
-    All members of a hub with both sides and two or more units are connected through their pairs, so each is tied to
-    the largest of them: the same units are met and the same groups result, with one edge per member of a hub instead
-    of one per pair.
-    """
-    ended, begun = interval_hubs(register, **options)
-    members = ended.withColumn("side", F.lit(1)).unionByName(begun.withColumn("side", F.lit(2)))
-    centres = (members.groupBy(*HUB).agg(F.max("unit").alias("centre"), F.min("unit").alias("_least"),
-                                         F.min("side").alias("_a"), F.max("side").alias("_b"))
-               .filter("_a = 1 AND _b = 2 AND _least < centre").select(*HUB, "centre"))
-    return members.join(centres, HUB).select("unit", "centre").filter("unit <> centre").distinct()
-
-
-def interval_partners(register: DataFrame, **options) -> DataFrame:
-    """Per unit with a partner how many units it may have turned into and how many may have turned into it.
-
-    A closed and an opened unit share exactly one hub, so partners are counted per hub and added up; no pair is listed.
-    """
-    ended, begun = interval_hubs(register, **options)
-    ended, begun = cut_lineage(ended), cut_lineage(begun)
-
-    def counted(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
-        sizes = others.groupBy(*HUB).agg(F.count(F.lit(1)).alias("n"))
-        # A unit that closes and opens inside one hub is no partner of itself.
-        own = others.select("unit", *HUB, F.lit(1).alias("own"))
-        found = rows.join(sizes, HUB).join(own, ["unit", *HUB], "left")
-        return found.groupBy("unit").agg(F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias(name))
-
-    both = counted(ended, begun, "n_after").join(counted(begun, ended, "n_before"), "unit", "full")
-    return both.select("unit", F.coalesce("n_after", F.lit(0)).alias("n_after"),
-                       F.coalesce("n_before", F.lit(0)).alias("n_before")).filter("n_after + n_before > 0")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.joins import interval_similarity_edges
+from ..operators.intervals import interval_similarity_edges
 from ..session import cut_lineage
 
 # Link types that name a merger or a split, and the labels of the methods.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import weighted_mean
-from ..operators import cleaning, dedupe, joins, ranking
+from ..operators import cleaning, dedupe, intervals, joins, ranking
 from ..operators.components import connected_components
 from ..plans import areas, marts, odds, panel, selection, trends
 from ..plans.lineage import build_lineage, lineage_clashes, one_to_one_links
@@ -238,9 +238,9 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         sf.part_register(t).join(t.part.select(F.col("p_partkey").alias("unit_id"), "p_name"), "unit_id"),
         ["area_code", "latitude"], name=("result_name", "p_name")),
     "interval_similarity_join": lambda t: connected_components(
-        joins.interval_similarity_edges(cut_lineage(sf.order_register(t))), "unit", "centre"),
+        intervals.interval_similarity_edges(cut_lineage(sf.order_register(t))), "unit", "centre"),
     "long_name_match": lambda t: _long_names(t),
-    "similar_partners": lambda t: joins.interval_partners(cut_lineage(sf.worded_orders(t))),
+    "similar_partners": lambda t: intervals.interval_partners(cut_lineage(sf.worded_orders(t))),
     "tidy_register": lambda t: tidy_register(sf.register_file(t)),
     "tidy_links": lambda t: tidy_links(sf.links_file(t)),
     "tidy_zones": lambda t: tidy_zones(sf.zones_file(t)),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohort_gaps.operators import components, dedupe, joins, ranking
+from cohort_gaps.operators import components, dedupe, intervals, joins, ranking
 from cohort_gaps.operators.components import connected_components
 from cohort_gaps.session import cut_lineage, ensure_checkpoint_dir, scratch
 
@@ -252,7 +252,7 @@ def test_interval_hubs_hold_the_true_pairs_once(register, days, least):
 
 def test_interval_edges_give_the_same_groups(spark, register):
     rows, _, table, _ = register
-    edges = [tuple(r) for r in joins.interval_similarity_edges(table, max_gap_days=60).collect()]
+    edges = [tuple(r) for r in intervals.interval_similarity_edges(table, max_gap_days=60).collect()]
     assert groups_of(edges) == groups_of(all_pairs(rows, 60, 0.5))
 
 
@@ -261,7 +261,7 @@ def test_one_name_in_one_block_needs_one_edge_per_member(spark):
     day = dt.date(2021, 5, 1)
     df = spark.createDataFrame([(i, "A", "Hill", day, day) for i in range(300)],
                                "unit_id long, postcode string, unit_name string, open_date date, close_date date")
-    edges = joins.interval_similarity_edges(df).collect()
+    edges = intervals.interval_similarity_edges(df).collect()
     assert len(edges) == 299 and {r.centre for r in edges} == {299}
 
 
@@ -349,7 +349,7 @@ def test_partners_are_counted_for_every_pair(spark):
                     and similarity(a[2], b[2]) >= 0.5):
                 after[a[0]] += 1
                 before[b[0]] += 1
-    found = {r.unit: (r.n_after, r.n_before) for r in joins.interval_partners(df).collect()}
+    found = {r.unit: (r.n_after, r.n_before) for r in intervals.interval_partners(df).collect()}
     assert found == {i: (after[i], before[i]) for i in set(after) | set(before)}
 
 
