@@ -439,10 +439,74 @@ def test_maxent(documents, odd, nothing, texts):
 
 
 def test_maxent_is_a_distribution():
-    rng = np.random.default_rng(7)
-    weights, bias = maxent.unflat(rng.normal(size=maxent.WEIGHTS).astype(np.float32))
-    slots = rng.integers(0, maxent.SLOTS, (maxent.KINDS, 50))
-    assert np.allclose(np.exp(maxent.log_softmax(weights, bias, slots)).sum(0), 1.0, atol=1e-4)
+    rng, model = np.random.default_rng(1), maxent.Model()
+    values = rng.normal(size=len(model.flat())).astype(np.float32)
+    model = maxent.Model(values)
+    assert np.allclose(model.flat(), values, atol=2e-2)
+    features = rng.integers(0, 1 << 63, (maxent.KINDS, 50)).astype(np.uint64) * np.uint64(2)
+    total = np.zeros(50)
+    for kind in range(maxent.CLASSES):
+        for member in range(maxent.MEMBERS if kind < maxent.END_CLASS else 1):
+            total += np.exp(model.log_p(features, np.full(50, kind), np.full(50, member)))
+    assert np.allclose(total, 1.0, atol=1e-4)
+
+
+def test_maxent_score_by_brute_force(spark):
+    """One block of a few texts, learned and scored again token by token in plain Python."""
+    texts = {i: t for i, t in enumerate(["a b a b", "b a c", "", "The cat sat on the cat", "a b c d e f", None, "x" * 300])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in maxent.report(df).collect()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    assert 0 < len(train)
+    own = {i: np.frombuffer(lower(t or "").encode(), np.uint8) for i, t in texts.items()}
+    read = {i: maxent.tokens(data, np.array([0, len(data)])) for i, data in own.items()}
+    counts, kinds = Counter(), {}
+    for i, (hashed, kind, _) in read.items():
+        kinds.update(zip(hashed.tolist(), kind.tolist()))
+        counts.update(hashed.tolist() if i in train else ())
+    members = {}
+    for c in range(maxent.END_CLASS):
+        # Fewer words than members: every training word has its own place, in the order of counts and signed hashes.
+        mine = sorted((h for h in counts if kinds[h] == c), key=lambda h: (-counts[h], h - (h >> 63 << 64)))
+        members.update({h: k for k, h in enumerate(mine)})
+    member = {i: np.array([members.get(h, maxent.REST) for h in hashed.tolist()]) for i, (hashed, _, _) in read.items()}
+    order = sorted(train, key=lambda i: i)
+    features = {i: maxent.contexts(*r) for i, r in read.items()}
+    model = maxent.Model(maxent.Model().flat())
+    model.learn(np.concatenate([features[i] for i in order], 1), np.concatenate([read[i][1] for i in order]),
+                np.concatenate([member[i] for i in order]))
+    model = maxent.Model(model.flat().astype(np.float32))
+    for i, (hashed, kind, _) in read.items():
+        total = 0.0
+        for k, h in enumerate(hashed.tolist()):
+            x = features[i][:, k]
+
+            def logits(factor):
+                rows = [(int(f) >> (64 - factor.bits)) + (j << factor.bits) for j, f in enumerate(x)]
+                return [sum(float(factor.weights[r, o]) for r in (*rows, len(factor.weights) - 1))
+                        for o in range(factor.weights.shape[1])]
+
+            z = logits(model.classes)
+            total += z[kind[k]] - math.log(sum(map(math.exp, z)))
+            if kind[k] < maxent.END_CLASS:
+                z = logits(model.members[kind[k]])
+                total += z[member[i][k]] - math.log(sum(map(math.exp, z)))
+                if member[i][k] == maxent.REST:
+                    total += math.log(0.1 / 0.1)  # no training word is in the rest here
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_maxent_blocks_spread_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "BLOCK_BYTES", 2000)
+    df = spark.createDataFrame([(i if i % 2 else None, f"word{i} of a text {i * 7}") for i in range(1200)],
+                               "doc_id long, text string")
+    keyed, blocks = maxent._keyed(df)
+    sizes = [r["count"] for r in keyed.groupBy("block").count().collect()]
+    assert blocks > 5 and len(sizes) == blocks and max(sizes) < 2 * 1200 / blocks
+    assert [e for _, e in maxent.rounds(blocks)][-1] == blocks and len(maxent.rounds(blocks)) > 1
+    assert maxent.rounds(27) == [(0, 1), (1, 6), (6, 27)]
+    rows = maxent.report(df).collect()
+    assert len(rows) == 1200 and all(r["score"] < 0 for r in rows)
 
 
 def test_quality_classifier(spark, odd, nothing, sf_dir):
