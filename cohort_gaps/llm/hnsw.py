@@ -1,11 +1,13 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node. The vectors of a label are dealt to shards of bounded size, every shard is indexed and queried
-by all vectors of its label, in blocks. Beams widen until an audit against brute force passes; every link is verified by
+by all vectors of its label, in blocks that read the same stored graph. Beams widen until an audit against brute force passes; every link is verified by
 its cosine in double precision, and linked vectors are united.
 """
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,8 @@ COSINE = 0.98
 # Most vectors of a shard, in the mean; a task holds one shard and one block of queries of this size.
 SHARD = 8192
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, ENTRIES, WIDEN = 16, 48, 32, 4, 4
-# Queries of a shard audited against brute force, and the share of their links that must be found.
+# Queries of a block audited against brute force, and the share that must be found of their links to other vectors; a query
+# without a link must find the vector nearest to it instead, so that there is always something to find.
 AUDITED, RECALL = 64, 0.99
 QUERIES = 512
 
@@ -41,6 +44,21 @@ class Graph:
         for level in range(top, -1, -1):
             self._build(level, self.order[levels[self.order] >= level])
 
+    def stored(self) -> bytes:
+        """The links, without the vectors."""
+        out = io.BytesIO()
+        np.savez(out, entry=self.entry, **{f"layer{k}": layer for k, layer in enumerate(self.layers)})
+        return out.getvalue()
+
+    @classmethod
+    def restored(cls, vectors: np.ndarray, stored: bytes) -> Graph:
+        """The graph over the same vectors in the same order."""
+        own = cls.__new__(cls)
+        with np.load(io.BytesIO(stored)) as parts:
+            own.vectors, own.entry = vectors, int(parts["entry"])
+            own.layers = [parts[f"layer{k}"] for k in range(len(parts.files) - 1)]
+        return own
+
     def _build(self, level: int, members: np.ndarray) -> None:
         """Insert the members of a layer in growing batches; a batch also meets itself, as far as it is close."""
         done = 1
@@ -149,6 +167,10 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def nearest(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """``[query, place]`` of the vectors that a beam ends with."""
+        return self._search(queries, self._descend(queries, 0, max(ENTRIES, beam // 8)), 0, beam)[0]
+
     def within(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
         """For each query the vectors found at ``least`` or nearer.
 
@@ -181,16 +203,24 @@ class Graph:
         return out
 
 
-def audited_links(graph: Graph, queries: np.ndarray, least: float) -> list[np.ndarray]:
-    """Results of ``within`` with a beam wide enough that an audit of spread queries finds RECALL of their true links.
+def audited_links(graph: Graph, queries: np.ndarray, own: np.ndarray, least: float) -> list[np.ndarray]:
+    """Results of ``within`` with a beam wide enough that an audit of spread queries passes; ``own`` is the place of each
+    query in the shard, or -1, and being found by itself counts for nothing.
 
     A beam of half the shard is as good as no graph: then every vector of the shard is compared.
     """
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = (queries[sample] @ graph.vectors.T >= least).sum()
+    sims = queries[sample] @ graph.vectors.T
+    inside = np.flatnonzero(own[sample] >= 0)
+    sims[inside, own[sample[inside]]] = -np.inf
+    links, nearest = sims >= least, sims.argmax(1)
+    linked, lone = np.flatnonzero(links.any(1)), np.flatnonzero(~links.any(1))
+    wanted = RECALL * (links.sum() + len(lone))
     beam = FIRST_BEAM
     while 2 * beam < len(graph.vectors):
-        if sum(map(len, graph.within(queries[sample], least, beam))) >= RECALL * truth:
+        found = sum(links[q, near].sum() for q, near in zip(linked, graph.within(queries[sample[linked]], least, beam)))
+        found += (graph.nearest(queries[sample[lone]], beam) == nearest[lone, None]).sum()
+        if found >= wanted:
             return graph.within(queries, least, beam)
         beam *= 2
     out = []
@@ -220,10 +250,10 @@ def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def link_group(table: pa.Table, least: float = COSINE) -> pa.Table:
+def link_group(table: pa.Table, stored: bytes, least: float = COSINE) -> pa.Table:
     """``(a, b, n)`` of one shard and one block of queries: ``n`` copies linked to ``a`` here, ``b`` a vector of its component.
 
-    With ``role`` 0 only, the shard is queried by itself and each pair counts once.
+    ``stored`` is the shard's graph over its vectors in the order of ``rep``. With ``role`` 0 only, the shard is queried by itself and each pair counts once.
     """
     table = table.sort_by([("role", "ascending"), ("rep", "ascending")])
     role, rep, copies = (table[c].to_numpy() for c in ("role", "rep", "copies"))
@@ -232,8 +262,9 @@ def link_group(table: pa.Table, least: float = COSINE) -> pa.Table:
     alone = len(asked) == 0
     asked = shard if alone else asked
     single = unit.astype(np.float32)
-    graph = Graph(single[shard], rep[shard])
-    found = audited_links(graph, single[asked], least - 1e-5)
+    graph = Graph.restored(single[shard], stored)
+    places = np.arange(len(shard)) if alone else np.full(len(asked), -1)
+    found = audited_links(graph, single[asked], places, least - 1e-5)
     a = np.repeat(asked, [len(f) for f in found])
     b = shard[np.concatenate(found)] if len(found) else np.zeros(0, int)
     if alone:
@@ -276,17 +307,28 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
     # A shard meets each block once: itself (block = shard), and the blocks of later shards.
     parts = parts.filter("role = 1 OR block = shard OR block > shard")
 
-    def group(table: pa.Table) -> pa.Table:
-        if 0 not in table["role"].to_pylist():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        first = table["shard"][0].as_py() == table["block"][0].as_py()
-        if not first and 1 not in table["role"].to_pylist():
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        graph = Graph(_unit(table).astype(np.float32), table["rep"].to_numpy())
+        return table.slice(0, 1).select(["label", "dim", "shard"]).append_column("graph", pa.array([graph.stored()], pa.binary()))
+
+    # One graph per shard, written once; each of its blocks reads it.
+    built = dealt.select("label", "dim", F.col("own").alias("shard"), F.lit(b"").alias("graph")).schema
+    graphs = cut_lineage(dealt.withColumn("shard", F.col("own")).repartition("label", "dim", "shard").groupBy(
+        "label", "dim", "shard").applyInArrow(build, built))
+    read = graphs.join(sizes, ["label", "dim"]).select("label", "dim", "shard", "graph", F.explode(
+        F.expr("sequence(shard, shards - 1)")).alias("block"))
+
+    def group(table: pa.Table, own: pa.Table) -> pa.Table:
+        roles = set(table["role"].to_pylist())
+        if 0 not in roles or (1 not in roles and table["shard"][0].as_py() != table["block"][0].as_py()):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        return link_group(table, least)
+        return link_group(table, own["graph"][0].as_py(), least)
 
     # Dealt by all four keys, else every group of a label would stay in the task that its size came from.
     keys = ["label", "dim", "shard", "block"]
-    linked = cut_lineage(parts.repartition(*keys).groupBy(*keys).applyInArrow(group, "a long, b long, n long"))
+    linked = cut_lineage(parts.repartition(*keys).groupBy(*keys).cogroup(read.repartition(*keys).groupBy(*keys)).applyInArrow(
+        group, "a long, b long, n long"))
     counts = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     united = connected_components(linked, "a", "b", smallest=True).withColumnRenamed("node", "rep")
     rooted = cut_lineage(nodes.join(counts, "rep", "left").join(united, "rep", "left").select(

@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in DataFrame expressions only.
 
-A candidate is a run of 16 or more letters, digits and ``+/_-``. What tells a key from a long word, a number or a path is
+A candidate is a run of 16 or more letters, digits and ``+/_-``, or six or more characters other than blanks and quotes that
+are assigned to a credential's name, such as a short password with signs in it. What tells a key from a long word, a number or a path is
 its length, its character transitions, how much of it a dictionary covers, signs of a path around it, and the words next
 to it. The forest is trained from labelled findings; without given ones, candidates of known shape serve as such.
 """
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 RUN = r"[A-Za-z0-9+/_-]{16,}"
+# Names of credentials, and a value assigned to one; the first look behind spares most places the long one.
+CREDENTIAL = r"(?i:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private)"
+ASSIGNED = (r"""(?<=[=: "'])(?<=[=:][ \t]{0,3}["']?)(?<=""" + CREDENTIAL + r"""["']?[ \t]{0,3}[=:][ \t]{0,3}["']?)"""
+            r"""[^\s"'`<>,;]{5,}[^\s"'`<>,;.:)]""")
+CANDIDATE = f"{ASSIGNED}|{RUN}"
 # Characters of context read on the left and on the right of a candidate.
 LEFT, RIGHT = 40, 16
 MARK = "[secret]"
@@ -43,11 +49,11 @@ def candidates(docs: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) -> Dat
     """``(doc_id, place, candidate, before, after)`` with the FEATURES of every candidate of the whole texts.
 
     ``place`` numbers the candidates of a text. Contexts stop at the neighbouring candidate. A null or empty text has
-    none; rows without a ``doc_id`` are scanned like others.
+    none; very long texts are read whole; rows without a ``doc_id`` are scanned like others.
     """
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.regexp_extract_all("text", F.lit(f"({RUN})"), F.lit(1)).alias("found"),
-                         F.when(F.col("text").rlike(RUN), F.split("text", RUN, -1)).alias("gaps"))
+                         F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1)).alias("found"),
+                         F.split("text", CANDIDATE, -1).alias("gaps"))
     listed = pieces.filter(F.size("found") > 0).select("doc_id", F.posexplode(F.expr(
         f"transform(found, (c, i) -> struct(c AS candidate, right(gaps[i], {LEFT}) AS before, "
         f"left(gaps[i + 1], {RIGHT}) AS after))")).alias("place", "c")).select("doc_id", "place", "c.*")

@@ -131,6 +131,19 @@ def test_secret_scan(spark, odd, nothing):
     assert sorted(map(str, secret_scan.redact(odd).collect())) == sorted(map(str, odd.collect()))
 
 
+def test_secret_scan_finds_short_values_of_credentials(spark):
+    values = ["Tr0ub4dor3", "hunter2!Secr$et.zz99", "a8Fk2.Lq93ZxPw", "x7#kQ2"]
+    forms = ["password={} and more", "the db password: {}", 'api_key="{}", next', "Token = '{}'"]
+    rows = [(i, "first " + forms[i % 4].format(values[i % 4].replace("2", str(i % 10)))) for i in range(80)]
+    rows += [(100 + i, f"the secret: {word} of the house") for i, word in enumerate(["beautiful", "kitchen", "garden"] * 20)]
+    docs = spark.createDataFrame(rows + [(900, "password=short"), (901, "a=Tr0ub4dor3 b: x7#kQ2ab")], "doc_id long, text string")
+    found = rows_of(secret_scan.report(docs))
+    assert set(found) == set(range(80))
+    assert all(found[i][0]["secret"] == values[i % 4].replace("2", str(i % 10)) for i in range(80))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean[1] == f"first the db password: {secret_scan.MARK}" and clean[100] == "the secret: beautiful of the house"
+
+
 def test_sentencepiece_scan_is_the_best_segmentation(texts):
     encoder = sentencepiece_scan.processor(PIECES)
     scores = [p.score for p in sentencepiece_scan._proto(PIECES).pieces]
@@ -287,6 +300,26 @@ def test_hnsw(spark, sf_dir):
     assert hnsw.report(df.filter("vec_id = -1")).count() == 0
 
 
+def test_hnsw_audit_is_not_passed_by_a_graph_that_finds_only_itself(monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(400, 12)).astype(np.float32)
+    vectors[300:] = vectors[:100] + rng.normal(scale=0.01, size=(100, 12)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = hnsw.Graph(vectors, np.arange(400))
+    again = hnsw.Graph.restored(vectors, graph.stored())
+    assert again.entry == graph.entry and all((a == b).all() for a, b in zip(again.layers, graph.layers, strict=True))
+    true = [np.flatnonzero(row) for row in vectors @ vectors.T >= 0.98]
+    assert sum(map(len, hnsw.audited_links(again, vectors, np.arange(400), 0.98))) >= 0.99 * sum(map(len, true))
+    # A graph without links reaches nothing but its entries, with links to find or without.
+    for least in (0.98, 2.0):
+        asked = []
+        again.layers = [np.full_like(layer, -1) for layer in graph.layers]
+        monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, at, beam: asked.append(len(q)) or [np.zeros(0, int)] * len(q))
+        found = hnsw.audited_links(again, vectors, np.arange(400), least)
+        assert 400 not in asked  # never accepted
+        assert [f.tolist() for f in found] == [np.flatnonzero(row).tolist() for row in vectors @ vectors.T >= least]
+
+
 def test_hnsw_keeps_different_vectors_of_one_id_apart(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0])]
     df = spark.createDataFrame([(i, v, 5) for i, v in rows], "vec_id long, embedding array<float>, label int")
