@@ -77,27 +77,37 @@ class Softmax:
     def rows(self, features: np.ndarray) -> np.ndarray:
         slots = (features >> np.uint64(64 - self.bits)).astype(np.int64) + (np.arange(KINDS) << self.bits)[:, None]
         # Two bytes, which numpy sorts by radix.
-        return np.concatenate((slots, np.full((1, slots.shape[1]), KINDS << self.bits))).astype(np.uint16)
+        return slots.astype(np.uint16)
 
-    def log_p(self, rows: np.ndarray) -> np.ndarray:
-        """``[token, outcome]`` log probabilities."""
-        logits = self.weights[rows[0]]
+    def _logits(self, rows: np.ndarray) -> np.ndarray:
+        """``[token, outcome]`` sums of weights, the greatest of each token being 0."""
+        logits = self.weights.take(rows[0], 0)
         for own in rows[1:]:
-            logits += self.weights[own]
-        logits -= logits.max(1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+            logits += self.weights.take(own, 0)
+        logits += self.weights[-1]
+        logits -= logits.max(1)[:, None]
+        return logits
+
+    def log_p(self, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probability of each token's outcome."""
+        logits = self._logits(rows)
+        own = logits[np.arange(len(target)), target]
+        return own - np.log(np.exp(logits, out=logits).sum(1))
 
     def learn(self, rows: np.ndarray, target: np.ndarray) -> None:
         """One gradient step for a batch of tokens."""
-        gradient = np.exp(self.log_p(rows))
+        gradient = self._logits(rows)
+        np.exp(gradient, out=gradient)
+        gradient /= gradient.sum(1)[:, None]
         gradient[np.arange(len(target)), target] -= 1.0
-        for own in rows:
-            order = np.argsort(own, kind="stable")
-            by_row = own[order]
-            heads = np.flatnonzero(np.concatenate(([True], by_row[1:] != by_row[:-1])))
-            at, sums = by_row[heads], np.add.reduceat(gradient[order], heads, axis=0)
-            self.squares[at] += (sums * sums).sum(1)
-            self.weights[at] -= RATE * sums / np.sqrt(self.squares[at])[:, None]
+        # All feature kinds at once: their rows differ.
+        order = np.argsort(rows.ravel(), kind="stable")
+        by_row = rows.ravel()[order]
+        heads = np.flatnonzero(np.concatenate(([True], by_row[1:] != by_row[:-1])))
+        at = np.append(by_row[heads].astype(np.int64), len(self.squares) - 1)
+        sums = np.concatenate((np.add.reduceat(gradient[order % len(target)], heads, axis=0), gradient.sum(0)[None]))
+        self.squares[at] += np.einsum("ij,ij->i", sums, sums)
+        self.weights[at] -= sums * (RATE / np.sqrt(self.squares[at]))[:, None]
 
 
 class Model:
@@ -138,9 +148,9 @@ class Model:
         out = np.zeros(len(kind))
         for first in range(0, len(kind), BATCH):
             f, k, m = features[:, first:first + BATCH], kind[first:first + BATCH], member[first:first + BATCH]
-            part = self.classes.log_p(self.classes.rows(f))[np.arange(len(k)), k].astype(np.float64)
+            part = self.classes.log_p(self.classes.rows(f), k).astype(np.float64)
             for c, at in self._by_class(k):
-                part[at] += self.members[c].log_p(self.members[c].rows(f[:, at]))[np.arange(len(at)), m[at]]
+                part[at] += self.members[c].log_p(self.members[c].rows(f[:, at]), m[at])
             out[first:first + BATCH] = part
         return out
 
