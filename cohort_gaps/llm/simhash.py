@@ -4,8 +4,9 @@ The 64 bits are dealt to partitions, correlated bits together. If the thresholds
 ``distance - partitions + 1``, two fingerprints within ``distance`` differ by at most its threshold in some partition. Each
 fingerprint chooses its own thresholds, by dynamic programming over estimated candidate counts; -1 leaves a partition out.
 
-``keep_first``, a stage of the pipeline, goes by the shared five-word shingles themselves: texts with four fifths of them in
-common are 10 bits apart in the mean, where 64 bits tell near from far no longer. There MinHash bands give the candidates.
+``keep_first`` goes by the shared five-word shingles themselves: texts with four fifths of them in common are 10 bits apart in
+the mean, where 64 bits tell near from far no longer. There MinHash bands give the candidates. A stage of the pipeline takes
+both kinds of links.
 """
 from __future__ import annotations
 
@@ -354,12 +355,26 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "doc_id", "first_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame) -> DataFrame:
+    """``(doc_id, first_id)`` per row with an id: the smallest ``doc_id`` reachable through near fingerprints and near
+    copies, in any order."""
+    own = docs.filter(F.col("doc_id").isNotNull())
+    links = near_duplicates(own).select("doc_id", F.col("component_id").alias("first_id")).unionByName(near_copies(own))
+    links = cut_lineage(links.distinct())
+    parts = connected_components(links, "doc_id", "first_id", smallest=True).select(
+        F.col("node").alias("doc_id"), "component")
+    return links.select("doc_id").distinct().join(parts, "doc_id", "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("first_id"))
+
+
+def keep_first(docs: DataFrame, fingerprints_too: bool = False) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest ``doc_id``.
 
-    A repeated row of that document goes too. Rows without a ``doc_id`` are not judged and stay.
+    With ``fingerprints_too`` documents with near fingerprints belong together as well. A repeated row of that document goes
+    too. Rows without a ``doc_id`` are not judged and stay.
     """
-    firsts = near_copies(docs).filter("doc_id = first_id").select("doc_id").distinct()
+    firsts = (near_groups(docs) if fingerprints_too else near_copies(docs)).filter("doc_id = first_id").select(
+        "doc_id").distinct()
     return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(
         docs.filter(F.col("doc_id").isNull()))
 

@@ -25,8 +25,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with four fifths of its five-word shingles in common."""
-    return simhash.keep_first(docs)
+    """One document of each group linked by near SimHash fingerprints or by four fifths of the five-word shingles in common."""
+    return simhash.keep_first(docs, fingerprints_too=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
                              for name, kind in docs.dtypes])
 
 
-STAGES = [("quality classifier", keep_quality), ("line dedup", drop_repeated_lines), ("near-dedup", keep_one_copy),
+STAGES = [("quality classifier", keep_quality), ("line dedup", drop_repeated_lines), ("SimHash near-dedup", keep_one_copy),
           ("secret scan", redact_secrets), ("packing", pack_sequences)]
 
 # Trained models, fingerprints and tokens are beyond SQL; tests compare each stage with brute force.
