@@ -11,6 +11,8 @@ from ..session import cut_lineage
 BUCKET_DAYS = 11
 # Names on one shelf of an index, about.
 SHELF = 512
+# Pairs per name up to which a block is joined.
+FEW = 32
 # Thresholds through which the search for the best name falls, and from how many entries of a name's words on.
 FALLING = (0.8, 0.6, 0.4, 0.2)
 HOT_LISTS = 4096
@@ -112,26 +114,10 @@ def _best_of_shelves(asked: DataFrame, held: DataFrame, level: float) -> DataFra
             .filter(F.col("best.similarity") >= F.lit(level - 1e-12)))
 
 
-def best_name_match(missing: DataFrame, register: DataFrame, fields: list[str], min_similarity: float = 0.0,
-                    block: tuple[str, str] = ("result_postcode", "postcode"),
-                    name: tuple[str, str] = ("result_name", "unit_name"), key: str = "unit_id") -> DataFrame:
-    """For every missing unit the register unit of its block with the most similar name, the smallest id on ties.
-
-    Returns ``key``, ``match_id``, ``similarity`` and the register's ``fields``. The search falls through thresholds: a
-    name that has a partner at least as alike as the threshold shares one of its rarest words with it, the fewer words the
-    higher the threshold, and all such partners are found, so the best of them is the best of all. Only names without one
-    go on to the next threshold. Names whose words are rare look up all of them at once. Rows are a name's words times
-    the shelves that hold them, never pairs of names, and a name may have any number of words.
-    """
-    left = (missing.filter(F.col(block[0]).isNotNull())
-            .select(F.col(block[0]).alias("block"), token_set(name[0]).alias("tokens")).distinct())
-    right = cut_lineage(
-        register.filter(F.col(block[1]).isNotNull())
-        .select(F.col(block[1]).alias("block"), token_set(name[1]).alias("r_tokens"), F.col(key).alias("r_id"))
-        .groupBy("block", "r_tokens").agg(F.min("r_id").alias("r_id")))
+def _best_of_crowded(left: DataFrame, right: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``best`` of every name of ``left``, by falling thresholds."""
     words = right.select("block", F.explode("r_tokens").alias("word")).groupBy("block", "word").agg(
         F.count(F.lit(1)).alias("n"))
-    blocks = right.groupBy("block").agg(F.count(F.lit(1)).alias("n_block"), F.min("r_id").alias("first_id"))
     asked = cut_lineage(_ranked(left, "tokens", words, blocks).filter("n_block IS NOT NULL").withColumn(
         "is_hot", F.least(_entries_met(), "n_block") > HOT_LISTS))
     held = _ranked(right, "r_tokens", words, blocks)
@@ -149,9 +135,36 @@ def best_name_match(missing: DataFrame, register: DataFrame, fields: list[str],
         F.lit(0.0).alias("similarity"), (-F.col("first_id")).alias("minus_id")).alias("best"))
     for more in found:
         best = best.unionByName(more)
-    best = best.groupBy("block", "tokens").agg(F.max("best").alias("best")).select(
-        "block", "tokens", F.col("best.similarity").alias("similarity"),
-        (-F.col("best.minus_id")).alias("match_id")).filter(F.col("similarity") >= min_similarity)
+    return best.groupBy("block", "tokens").agg(F.max("best").alias("best"))
+
+
+def best_name_match(missing: DataFrame, register: DataFrame, fields: list[str], min_similarity: float = 0.0,
+                    block: tuple[str, str] = ("result_postcode", "postcode"),
+                    name: tuple[str, str] = ("result_name", "unit_name"), key: str = "unit_id") -> DataFrame:
+    """For every missing unit the register unit of its block with the most similar name, the smallest id on ties.
+
+    Returns ``key``, ``match_id``, ``similarity`` and the register's ``fields``. Names of a block of few are compared as they
+    are. In other blocks the search falls through thresholds: a
+    name that has a partner at least as alike as the threshold shares one of its rarest words with it, the fewer words the
+    higher the threshold, and all such partners are found, so the best of them is the best of all. Only names without one
+    go on to the next threshold. Names whose words are rare look up all of them at once. Rows are a name's words times
+    the shelves that hold them, never pairs of names, and a name may have any number of words.
+    """
+    left = cut_lineage(missing.filter(F.col(block[0]).isNotNull())
+                       .select(F.col(block[0]).alias("block"), token_set(name[0]).alias("tokens")).distinct())
+    right = cut_lineage(
+        register.filter(F.col(block[1]).isNotNull())
+        .select(F.col(block[1]).alias("block"), token_set(name[1]).alias("r_tokens"), F.col(key).alias("r_id"))
+        .groupBy("block", "r_tokens").agg(F.min("r_id").alias("r_id")))
+    blocks = right.groupBy("block").agg(F.count(F.lit(1)).alias("n_block"), F.min("r_id").alias("first_id"))
+    crowded = cut_lineage(left.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(blocks, "block").filter(
+        F.col("n") * F.col("n_block") > FEW * (F.col("n") + F.col("n_block"))).select("block"))
+    best = left.join(crowded, "block", "left_anti").join(right, "block").groupBy("block", "tokens").agg(F.max(F.struct(
+        token_jaccard("tokens", "r_tokens").alias("similarity"), (-F.col("r_id")).alias("minus_id"))).alias("best"))
+    if not crowded.isEmpty():
+        best = best.unionByName(_best_of_crowded(*(df.join(crowded, "block", "left_semi") for df in (left, right, blocks))))
+    best = best.select("block", "tokens", F.col("best.similarity").alias("similarity"),
+                       (-F.col("best.minus_id")).alias("match_id")).filter(F.col("similarity") >= min_similarity)
 
     keyed = missing.select(key, F.col(block[0]).alias("block"), token_set(name[0]).alias("tokens"))
     matched = keyed.join(best, ["block", "tokens"]).select(key, "match_id", "similarity")
