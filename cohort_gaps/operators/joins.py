@@ -1,16 +1,24 @@
 """Joins with provenance, best matches, and similarity in a block of any size."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import token_jaccard, token_set
 from ..session import cut_lineage
+from .intervals import shared_values
 
 # Days per bucket when a date window is taken apart.
 BUCKET_DAYS = 11
 # Names on one shelf of an index, about.
 SHELF = 512
+# Names asked for that meet a shelf together, about, and pairs from which the two are compared as matrices.
+ASKED = 256
+MATRIX = 1024
 # Pairs per name up to which a block is joined.
 FEW = 32
 # Thresholds through which the search for the best name falls, and from how many entries of a name's words on.
@@ -83,11 +91,28 @@ def _entries_met() -> Column:
     return F.aggregate("ranked", F.lit(0).cast("long"), lambda total, w: total + w["n"])
 
 
+def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names asked for (column 2) with a shelf (column 3): for each the most words in common, smallest id on ties."""
+    for batch in rows:
+        for i in range(batch.num_rows):
+            asked, names = batch.column(2)[i].values, batch.column(3)[i].values
+            ids = names.field("id").to_numpy(zero_copy_only=False)
+            by_id = np.argsort(ids, kind="stable")
+            shared = shared_values(asked.field("words"), names.field("words").take(pa.array(by_id)))
+            best = shared.argmax(axis=1)  # the first of equal ones
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column(0)[i].as_py()] * len(asked), batch.column(0).type), asked.field("tokens"),
+                 pa.array(np.full(len(asked), batch.column(1)[i].as_py(), np.int32)),
+                 pa.array(shared[np.arange(len(asked)), best].astype(np.int32)), pa.array(-ids[by_id][best])],
+                ["block", "tokens", "size", "shared", "minus_id"])
+
+
 def _best_of_shelves(asked: DataFrame, held: DataFrame, level: float) -> DataFrame:
     """For names with a partner at least ``level`` alike the most similar one, smallest id on ties, as ``best``.
 
     The register's names stand on shelves, a bounded number of names of one size that share a word. A name looks through
-    each shelf of its rarest words inside one expression, so that a row comes out per shelf, not per pair. Where the lists
+    each shelf of its rarest words, together with others of its size and as matrices where both are many, so that a row
+    comes out per shelf, not per pair. Where the lists
     of its words are longer than the block, which is a list too, it looks through that, so that it meets nobody twice.
     """
     of_block = F.array(F.struct(F.col("n_block").alias("n"), F.lit("").alias("word")))
@@ -100,16 +125,28 @@ def _best_of_shelves(asked: DataFrame, held: DataFrame, level: float) -> DataFra
     shelf = F.pmod(F.xxhash64("r_id"), F.ceil(F.col("entry.n") / F.lit(float(SHELF))).cast("long"))
     shelves = entry.groupBy("block", F.col("entry.word").alias("word"), "size", shelf.alias("shelf")).agg(
         F.collect_list(F.struct("words", F.col("r_id").alias("id"))).alias("names"))
-    wanted = asked.select("block", "tokens", _named("tokens").alias("words"), F.explode(own_prefix).alias("entry")).filter("entry.n > 0").select("block", "tokens", "words", F.col("entry.word").alias("word"))
-    own = F.size("tokens")
-    near = (F.col("size") >= own * F.lit(level) - 1e-9) & (F.col("size") * F.lit(level) <= own + 1e-9)
+    wanted = asked.select("block", "tokens", _named("tokens").alias("words"), F.explode(own_prefix).alias("entry")).filter(
+        "entry.n > 0").select("block", F.col("entry.word").alias("word"), F.size("tokens").alias("own"),
+                              F.struct("tokens", "words").alias("name"))
+    counted = wanted.groupBy("block", "word", "own").agg(F.count(F.lit(1)).alias("n_own"))
+    cell = F.pmod(F.xxhash64("name"), F.ceil(F.col("n_own") / F.lit(float(ASKED))).cast("long"))
+    cells = wanted.join(counted, ["block", "word", "own"]).groupBy("block", "word", "own", cell.alias("cell")).agg(
+        F.collect_list("name").alias("asked"))
+    near = (F.col("size") >= F.col("own") * F.lit(level) - 1e-9) & (F.col("size") * F.lit(level) <= F.col("own") + 1e-9)
+    met = cells.join(shelves, ["block", "word"]).filter(near)
+    large = F.size("asked") * F.size("names") >= MATRIX
     # On one shelf all names have one size, so the most words in common is the most similar.
-    met = wanted.join(shelves, ["block", "word"]).filter(near).select("block", "tokens", "size", F.array_max(F.transform(
-        "names", lambda y: F.struct(F.size(F.array_intersect(F.col("words"), y["words"])).alias("shared"),
-                                    (-y["id"]).alias("minus_id")))).alias("best"))
-    shared = F.col("best.shared").cast("double")
-    met = met.filter("best.shared > 0").select("block", "tokens", F.struct((shared / (own + F.col("size") - shared)).alias("similarity"),
-                                                 F.col("best.minus_id").alias("minus_id")).alias("best"))
+    one = met.filter(~large).select("block", "size", "names", F.inline("asked")).select(
+        "block", "tokens", "size", F.array_max(F.transform("names", lambda y: F.struct(
+            F.size(F.array_intersect(F.col("words"), y["words"])).alias("shared"),
+            (-y["id"]).alias("minus_id")))).alias("best")).select("block", "tokens", "size", "best.shared", "best.minus_id")
+    kinds = dict(met.select("block", F.col("asked.tokens").getItem(0).alias("tokens"),
+                            (-F.col("names.id").getItem(0)).alias("minus_id")).dtypes)
+    many = met.filter(large).select("block", "size", "asked", "names").mapInArrow(
+        _compare, f"block {kinds['block']}, tokens {kinds['tokens']}, size int, shared int, minus_id {kinds['minus_id']}")
+    shared = F.col("shared").cast("double")
+    met = one.unionByName(many).filter("shared > 0").select("block", "tokens", F.struct(
+        (shared / (F.size("tokens") + F.col("size") - shared)).alias("similarity"), "minus_id").alias("best"))
     return (met.groupBy("block", "tokens").agg(F.max("best").alias("best"))
             .filter(F.col("best.similarity") >= F.lit(level - 1e-12)))
 
