@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tokens import encode_ids
+from .tokens import encode_ids, portions
 
 WINDOW = 1024
 OPEN = 32
@@ -119,9 +119,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, most_open:
         windows = Windows(TaskContext.get().partitionId() * TASK, window, most_open)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in rows:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode_ids(tokenizer_path, part.column(1).to_pylist())):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in portions(texts):
+                for doc_id, ids in zip(doc_ids[part], encode_ids(tokenizer_path, texts[part])):
                     windows.add(doc_id, 0, ids + end, len(ids) // 4 + 1)
                 yield windows.flush()
         windows.leave()

@@ -96,3 +96,14 @@ def test_pipeline_on_an_empty_table(spark, sf_dir):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_a_unit_is_looked_up_once_however_often_it_stands_in_a_portion(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    asked, look_up = [], tokens.Units.look_up
+    monkeypatch.setattr(tokens.Units, "look_up", lambda self, wanted: asked.extend(wanted) or look_up(self, wanted))
+    texts = ["alpha beta, gamma. " * 500 + "end", None, "", " beta  gamma ", "one.\nTwo alpha\n\nbeta é.\nÉta <|endoftext|>"] * 3
+    ids = tokens.encode_ids(path, texts)
+    whole = [tokens.tokenizer(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == whole
+    assert len(asked) < 100
