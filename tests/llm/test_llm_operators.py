@@ -331,6 +331,15 @@ def test_hnsw_keeps_different_vectors_of_one_id_apart(spark):
     assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (9, 1, 1)]
 
 
+def test_texts_without_candidates_are_not_sent_about(spark):
+    rows = [(i, f"plain words only {i}" if i % 10 else f"password = a1b2c3d4e5f6{i:04d} end") for i in range(400)]
+    out = secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string"))
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in joined and joined.index("Union") < joined.index("Join")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {
+        i: t if i % 10 else f"password = {secret_scan.MARK} end" for i, t in rows}
+
+
 def test_secrets_of_rows_without_an_id_go_too(spark):
     token = "".join(f"{k * 7919 % 16:x}" for k in range(3, 43))
     rows = [(None, f"my token = {token} here", 1), (None, "nothing in this one", 2), (4, f"token = {token}", 3), (None, None, 4)]
