@@ -566,3 +566,29 @@ def test_quality_classifier(spark, odd, nothing, sf_dir):
     assert few.count() == odd.count() and {r["score"] for r in few.collect()} == {0.5}
     assert quality_classifier.report(nothing, labels).count() == 0
     assert quality_classifier.accepted(odd, labels).columns == odd.columns
+
+
+def test_maxent_steps_add_up_frequent_and_rare_rows_alike(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, outcomes = 700, 16
+    features = (rng.zipf(1.2, (maxent.KINDS, n)) % 50).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    target = rng.integers(0, outcomes, n)
+    plain = maxent.Softmax(outcomes, 6)
+    rows = plain.rows(features)
+    expected, squares = np.zeros(plain.weights.shape), np.ones(len(plain.squares))
+    for _ in range(3):
+        logits = expected[rows.astype(int)].sum(0) + expected[-1]
+        p = np.exp(logits - logits.max(1)[:, None])
+        gradient = p / p.sum(1)[:, None] - np.eye(outcomes)[target]
+        sums = np.zeros(expected.shape)
+        for own in rows.astype(int):
+            np.add.at(sums, own, gradient)
+        sums[-1] = gradient.sum(0)
+        squares += (sums ** 2).sum(1)
+        expected -= sums * (maxent.RATE / np.sqrt(squares))[:, None]
+    for most in (0, 3, 10 ** 6):
+        monkeypatch.setattr(maxent, "LONG_ROWS", most)
+        own = maxent.Softmax(outcomes, 6)
+        for _ in range(3):
+            own.learn(rows, target)
+        assert np.allclose(own.weights, expected, atol=1e-4)
