@@ -6,9 +6,12 @@ shingles (the whole line, if shorter) have a Jaccard similarity of at least 0.8.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,14 @@ SKETCH = 256
 LONGEST = 1 << 16
 # Pairs of one bucket compared under one key, about.
 CELL = 1 << 22
+# Bands that a task sorts at once, and lines whose bands are one group, about.
+PORTION = 1 << 20
+GROUP_LINES = 1 << 15
+# Bytes of the lines compared at once, about, and the code points from which on five do not fit one number.
+PAIR_BYTES = 1 << 20
+FAR = (1 << 12) - 1
+# Lines of one bucket in a portion; where there are more, Spark joins them.
+DENSE = 64
 PRIME32 = np.uint32(0x01000193)
 
 
@@ -43,7 +54,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line)``: every line with something on it, trimmed, of the rows that have an id and a text."""
     single = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return single.select("doc_id", "line_no", F.btrim("raw", F.lit(" \t\n\x0b\x0c\r")).alias("line")).filter(
+    # Trimming copies a line, and few lines need it.
+    blank, raw = " \t\n\x0b\x0c\r", F.col("raw")
+    wide = reduce(or_, [raw.startswith(c) | raw.endswith(c) for c in blank])
+    return single.select("doc_id", "line_no", F.when(wide, F.btrim(raw, F.lit(blank))).otherwise(raw).alias("line")).filter(
         F.col("line") != "")
 
 
@@ -75,6 +89,19 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return text[first], number[first], found.starts[first], found.ends[last[:len(first)]]
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``values``, each as one binary."""
+    ends = np.concatenate(([0], np.cumsum(sizes * values.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     """A 32-bit finaliser."""
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
@@ -82,6 +109,13 @@ def _mix32(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
+@lru_cache(maxsize=256)
+def _drawn(bins: int, turn: int, size: int) -> np.ndarray:
+    """``[bin, turn]``: the bins that an empty one tries in ``size`` turns from ``turn`` on."""
+    tries = np.arange(bins)[:, None] * 1_000_003 + np.arange(turn, turn + size)
+    return (_mix(tries.astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
+
+
 def minhash(code: np.ndarray, begins: np.ndarray, chars: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """``[line, band]`` hashes of lines of ``chars`` characters from ``code[begins]`` on.
 
@@ -95,8 +129,11 @@ def minhash(code: np.ndarray, begins: np.ndarray, chars: np.ndarray, bands: int
     for k in range(SHINGLE):
         window = window * PRIME32 + mixed[k:k + len(code)]
     counts = np.maximum(chars - SHINGLE + 1, 1)
-    at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    hashed = window[at]
+    # Lines come in order and never overlap, so the windows inside one are left by a mask.
+    edge = np.zeros(len(code) + 1, np.int8)
+    edge[begins] += 1
+    edge[begins + counts] -= 1
+    hashed = window[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
     short = np.flatnonzero(chars < SHINGLE)  # one shingle: the line itself
     if len(short):
         value = np.zeros(len(short), np.uint32)
@@ -105,20 +142,25 @@ def minhash(code: np.ndarray, begins: np.ndarray, chars: np.ndarray, bands: int
                                                np.uint32(k))
         hashed[(np.cumsum(counts) - counts)[short]] = value
     hashed = _mix32(hashed)
-    bin_of = ((hashed.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-    low = np.full(len(chars) * bins, EMPTY, np.uint32)
-    np.minimum.at(low, np.repeat(np.arange(len(chars)) * bins, counts) + bin_of, hashed)
-    low = low.reshape(len(chars), bins).astype(np.uint64)
-    row, col = np.nonzero(low == EMPTY)
-    source, turn = low.copy(), 0
+    at = hashed.astype(np.uint64)
+    at *= np.uint64(bins)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
+    at += np.repeat(np.arange(len(chars)) * bins, counts)
+    source = np.full(len(chars) * bins, EMPTY, np.uint32)
+    np.minimum.at(source, at, hashed)
+    source = source.reshape(len(chars), bins)
+    low = source.astype(np.uint64)
+    (row, col), turn, size = np.nonzero(source == EMPTY), 1, 1
     while len(row):
-        turn += 1
-        other = (_mix((col * 1_000_003 + turn).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
-        found = source[row, other]
+        # More turns at once as fewer bins are left, those of lines with few shingles.
+        tried = source[row[:, None], _drawn(bins, turn, size)[col]]
+        won = (tried != EMPTY).argmax(axis=1)
+        found = tried[np.arange(len(row)), won]
         good = found != EMPTY
         # The borrowed value is marked with its turn, as in any other line with the same shingles.
-        low[row[good], col[good]] = found[good] + np.uint64(turn) * np.uint64(1 << 33)
-        row, col = row[~good], col[~good]
+        low[row[good], col[good]] = found[good] + (turn + won[good]).astype(np.uint64) * np.uint64(1 << 33)
+        row, col, turn, size = row[~good], col[~good], turn + size, min(2 * size, 64)
     joined = np.zeros((len(chars), bands), np.uint64)
     for k in range(rows):
         joined = joined * np.uint64(0x9E3779B97F4A7C15) + _mix(low[:, k::rows] + np.uint64(1))
@@ -129,7 +171,7 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, id, bands)`` of every line with something on it, of the rows that have an id.
 
     Of equal lines in one Arrow batch only the first has ``bands``, so a line that very many documents share is hashed once
-    for many of them. ``id`` is Spark's ``xxhash64`` of the trimmed line.
+    for many of them. ``id`` is Spark's ``xxhash64`` of the trimmed line, ``bands`` are 64-bit numbers as bytes.
     """
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -142,15 +184,15 @@ def signed_lines(docs: DataFrame) -> DataFrame:
                 heads = np.flatnonzero((data & 0xC0) != 0x80)
                 begins, stops = np.searchsorted(heads, starts[fresh]), np.searchsorted(heads, ends[fresh])
                 bands = minhash(code_points(data, heads), begins, stops - begins).view(np.int64)
-                filled = np.zeros(len(names) + 1, np.int32)
-                filled[1:][fresh] = BANDS
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(filled, dtype=np.int32)), pa.array(bands.ravel()))
+                filled = np.zeros(len(names), np.int64)
+                filled[fresh] = BANDS
+                lists = _binaries(np.ascontiguousarray(bands).ravel(), filled)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids[row + text]), pa.array(number.astype(np.int32)),
                      pa.array(np.array(names, np.uint64).view(np.int64)), lists], ["doc_id", "line_no", "id", "bands"])
 
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(batches, "doc_id long, line_no int, id long, bands array<long>")
+    return own.mapInArrow(batches, "doc_id long, line_no int, id long, bands binary")
 
 
 def pack_sketches(line: np.ndarray, hashed: np.ndarray, lines: int) -> list[pa.Array]:
@@ -238,23 +280,61 @@ def character_shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def packed_shingles(lines: pa.Array) -> list[np.ndarray | None]:
+    """The different shingles of each line as sorted numbers, one to one; None if a character is too far up for that."""
+    found: list[np.ndarray | None] = []
+    for _, data, offsets in slices(lines):
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        code = code_points(data, heads)
+        begins = np.searchsorted(heads, offsets)
+        far = np.concatenate(([0], np.cumsum(code >= FAR)))[begins]
+        ranks = np.concatenate((code.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)))
+        window = np.zeros(len(code), np.uint64)
+        for k in range(SHINGLE):
+            window = (window << np.uint64(12)) | ranks[k:k + len(code)]
+        for a, b, beyond in zip(begins[:-1].tolist(), begins[1:].tolist(), (far[1:] > far[:-1]).tolist()):
+            if beyond:
+                found.append(None)
+            elif b - a < SHINGLE:  # one shingle: the line itself
+                found.append(np.array([sum(int(x) << 12 * k for k, x in enumerate(ranks[a:b]))], np.uint64))
+            else:
+                sorted_ = np.sort(window[a:b - SHINGLE + 1])
+                found.append(sorted_[_runs(sorted_)])
+    return found
+
+
 def jaccard_pairs(pairs: DataFrame, threshold: float = THRESHOLD,
                   shingles_of: Callable[[str], set] = character_shingles) -> DataFrame:
     """Pairs ``(a, b)`` of ``(a, b, line_a, line_b)`` whose shingle sets reach the threshold, counted exactly."""
-    def shingles(line: str, known: dict[str, set]) -> set:
-        if line not in known:
-            if len(known) > 100:
-                known.clear()
-            known[line] = shingles_of(line)
-        return known[line]
+    def near(line_a: pa.Array, line_b: pa.Array) -> list[bool]:
+        both = pa.concat_arrays([line_a, line_b]).dictionary_encode()
+        packed = packed_shingles(both.dictionary) if shingles_of is character_shingles else [None] * len(both.dictionary)
+        sets, places, keep = {}, both.indices.to_pylist(), []
+
+        def shingles(place: int) -> set:
+            if place not in sets:
+                sets[place] = shingles_of(both.dictionary[place].as_py())
+            return sets[place]
+
+        for i, j in zip(places[:len(line_a)], places[len(line_a):]):
+            x, y = packed[i], packed[j]
+            if x is None or y is None:
+                x, y = shingles(i), shingles(j)
+                common = len(x & y)
+            else:
+                merged = np.sort(np.concatenate((x, y)))
+                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+            keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
+        return keep
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            keep, known = [], {}
-            for a, b in ((a.as_py(), b.as_py()) for a, b in zip(batch.column("line_a"), batch.column("line_b"))):
-                x, y = shingles(a, known), shingles(b, known)
-                both = len(x & y)
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            line_a, line_b = (batch.column(name).cast(pa.large_string()) for name in ("line_a", "line_b"))
+            size = np.cumsum(pc.add(pc.binary_length(line_a), pc.binary_length(line_b)).to_numpy())
+            # At least one pair, and as many as PAIR_BYTES hold.
+            cuts = np.append(_runs(size // PAIR_BYTES), len(size))
+            keep = [x for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist())
+                    for x in near(line_a.slice(at, end - at), line_b.slice(at, end - at))] if len(size) else []
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
@@ -271,6 +351,93 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingles_of: Callable[[str], s
     return cut_lineage(jaccard_pairs(with_b.select("a", "b", "line_a", "line_b"), shingles_of=shingles_of))
 
 
+def _dealt(band: np.ndarray, ids: np.ndarray, groups: int) -> pa.RecordBatch:
+    """``(part, bands, ids)`` of a portion: bands of one range are one part.
+
+    A bucket of more than ``DENSE`` rows sends only its least and largest id there, and all its rows to a part of the
+    portion's own, from ``groups`` on, so a part has at most ``DENSE`` rows of a bucket from each portion.
+    """
+    order = np.argsort(band)
+    band, ids = band[order], ids[order]
+    starts = _runs(band)
+    counts = np.diff(np.append(starts, len(band)))
+    large = counts > DENSE
+    dense = np.repeat(large, counts)
+    # The first two rows of such a bucket stand for its ends.
+    least, most, two = np.minimum.reduceat(ids, starts)[large], np.maximum.reduceat(ids, starts)[large], starts[large]
+    kept, ends = ~dense, ids.copy()
+    kept[two] = kept[two + 1] = True
+    ends[two], ends[two + 1] = least, most
+    near, near_ids = band[kept], ends[kept]
+    # Ranges of the upper half of a band; the extra rows come last, so their parts may be rows of their own.
+    part = ((near >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    own = groups + int(ids.view(np.uint64).sum() % np.uint64(groups))
+    part = np.concatenate((part, np.full(int(dense.sum()), own)))
+    first = _runs(part)
+    sizes = np.diff(np.append(first, len(part)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[first]), _binaries(np.concatenate((near, band[dense])), sizes),
+         _binaries(np.concatenate((near_ids, ids[dense])), sizes)], ["part", "bands", "ids"])
+
+
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """``(band, id, first)``, each once: the lines of every band that different lines have, and the least of their ids.
+
+    ``signed`` is a written table of ``(id, bands)``, bands being 64-bit hashes, a list or their bytes. Nearly all bands
+    have one line, so tasks sort theirs as arrays and send them about in runs. A group is a range of bands, and the number
+    of groups grows with the lines.
+    """
+    groups = max(1, -(-signed.count() // GROUP_LINES))
+
+    def portions(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in rows:
+            lists = batch.column(1)
+            if pa.types.is_binary(lists.type):
+                lengths = pc.divide(pc.binary_length(lists), 8)
+                bands = np.frombuffer(b"".join(lists.drop_null().to_pylist()), np.uint64)
+            else:
+                lengths, bands = pc.list_value_length(lists), lists.flatten().to_numpy().view(np.uint64)
+            ids = np.repeat(batch.column(0).to_numpy(), pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False))
+            held.append((bands, ids))
+            size += len(bands)
+            if size >= PORTION:
+                yield _dealt(*(np.concatenate(x) for x in zip(*held)), groups)
+                held, size = [], 0
+        if size:
+            yield _dealt(*(np.concatenate(x) for x in zip(*held)), groups)
+
+    def shared(table: pa.Table) -> pa.Table:
+        def joined(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+
+        band, ids = joined("bands", np.uint64), joined("ids", np.int64)
+        order = np.argsort(band)
+        band, ids = band[order], ids[order]
+        starts = _runs(band)
+        counts = np.diff(np.append(starts, len(band)))
+        least, most = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+        whole = table.column("part")[0].as_py() < groups
+        kept = np.repeat(least < most, counts) if whole else np.ones(len(band), bool)
+        band, ids, first = band[kept], ids[kept], np.repeat(least, counts)[kept]
+        order = np.lexsort((ids, band))
+        band, ids, first = band[order], ids[order], first[order]
+        fresh = np.ones(len(band), bool)
+        fresh[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])
+        band, ids, first = band[fresh].view(np.int64), ids[fresh], first[fresh]
+        # A part of its own knows no other portion's ids.
+        return pa.table({"band": band, "id": ids, "first": pa.array(first, mask=np.full(len(first), not whole))})
+
+    dealt = signed.select("id", "bands").mapInArrow(portions, "part long, bands binary, ids binary")
+    found = cut_lineage(dealt.groupBy("part").applyInArrow(shared, "band long, id long, first long"))
+    members, dense = found.filter("first IS NOT NULL"), found.filter("first IS NULL")
+    if dense.isEmpty():
+        return members
+    firsts = members.select("band", "first").distinct()
+    return cut_lineage(members.union(dense.select("band", "id").join(firsts, "band").select("band", "id", "first"))
+                       .distinct())
+
+
 def line_components(signed: DataFrame, lines: DataFrame, shingles_of: Callable[[str], set] = character_shingles,
                     sketches_of: Callable[[DataFrame], DataFrame] = sketches) -> DataFrame:
     """``(id, root)`` of the lines in a component of two or more different lines.
@@ -291,13 +458,9 @@ def line_components(signed: DataFrame, lines: DataFrame, shingles_of: Callable[[
 
 def _line_components(signed: DataFrame, lines: DataFrame, shingles_of: Callable[[str], set],
                      sketches_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    rows = signed.select(F.explode("bands").alias("band"), "id")
-    # Nearly all bands have one row, so as little as possible of each is sent about.
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    members = cut_lineage(rows.join(shared, "band").distinct())
-    firsts = members.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    members = cut_lineage(members.join(firsts.select("band", "first"), "band"))
-    texts = cut_lineage(lines.join(members.select("id").distinct(), "id", "left_semi")
+    members = bucket_members(signed)
+    # The numbers of a part are few beside its texts, so these need no sort.
+    texts = cut_lineage(lines.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
                         .groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")).select("id", "line"))
     known = cut_lineage(sketches_of(texts))
 
